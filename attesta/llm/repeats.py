@@ -300,38 +300,60 @@ def with_payloads(batches, kinds: dict[int, tuple[str, ...]]):
             yield doc_id, key, cols[4][i].as_buffer(), {k: t.of(doc_id, key) for k, t in tables.items()}
 
 
+def gathered(batches, kinds: dict[int, tuple[str, ...]], most: int = 1 << 18):
+    """What with_payloads gives, in lists of documents that make up a chunk."""
+    held, size = [], 0
+    for row in with_payloads(batches, kinds):
+        held.append(row)
+        size += row[2].size + 200
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def picked_runs(units: Units, rows: list, k: int, window: int):
+    """Bytes, offsets and unit arrays of the documents in rows, and the runs of windows with repeated anchors."""
+    places = [np.unique(r[3][2][0]) for r in rows]
+    data = np.frombuffer(b"".join(r[2] for r in rows), np.uint8)
+    offs = np.cumsum([0, *(r[2].size for r in rows)])
+    u, cuts, spans = units.read(data, offs)
+    doc, start, n, h = runs(u, cuts, k, window)
+    wanted = np.concatenate([(np.int64(i) << 40) | p for i, p in enumerate(places)])
+    pick = np.flatnonzero(np.isin((doc << 40) | start, wanted))
+    return data, offs, cuts, spans, doc[pick], start[pick], n[pick], h[pick]
+
+
 def stretch_pass(units: Units, k: int, window: int, buckets: int):
     """Documents with the places of their repeated anchors to payloads of stretches, by anchor; each stretch of a partition once."""
 
     def run(batches):
-        seen: dict[tuple[int, bytes], tuple] = {}
+        seen: dict[bytes, tuple] = {}
         size = 0
 
         def flush():
             groups: dict[int, list] = {}
-            for (h, text), (d, key, s) in seen.items():
-                groups.setdefault(h % buckets, []).append((text, d, key, s))
+            for text, (d, key, s, h) in seen.items():
+                groups.setdefault(h % buckets, []).append((text, d, key, s, h))
             for b, x in groups.items():
-                text, d, key, s = zip(*x, strict=True)
-                yield rows_of(3, [b], [packed(b"".join(text), np.array([len(t) for t in text], np.int64), np.array(d, np.int64), np.array(key, np.int64), np.array(s, np.int64))])
+                text, d, key, s, h = zip(*x, strict=True)
+                yield rows_of(3, [b], [packed(b"".join(text), np.array([len(t) for t in text], np.int64), np.array(d, np.int64), np.array(key, np.int64), np.array(s, np.int64), np.array(h, np.uint64))])
 
-        for doc_id, key, buf, extra in with_payloads(batches, {2: ("i8",)}):
-            places = np.unique(extra[2][0])
-            if not len(places):
+        for rows in gathered(batches, {2: ("i8",)}):
+            rows = [r for r in rows if len(r[3][2][0])]
+            if not rows:
                 continue
-            data = np.frombuffer(buf, np.uint8)
-            offs = np.array([0, len(data)])
-            u, cuts, spans = units.read(data, offs)
-            doc, start, n, h = runs(u, cuts, k, window)
-            for i in np.flatnonzero(np.isin(start, places)):
-                at = int(start[i])
-                text = units.stretch(data, offs, spans, cuts, 0, at, int(n[i]) + window - 1)
-                name, place = (int(h[i]), text), (doc_id, key, at)
-                if name not in seen:
-                    size += len(text) + 120
-                    seen[name] = place
-                elif place < seen[name]:
-                    seen[name] = place
+            data, offs, cuts, spans, doc, start, n, h = picked_runs(units, rows, k, window)
+            for i, at, m, hash_ in zip(doc.tolist(), start.tolist(), n.tolist(), h.tolist(), strict=True):
+                text = units.stretch(data, offs, spans, cuts, i, at, m + window - 1)
+                place = (rows[i][0], rows[i][1], at, hash_)
+                old = seen.get(text)
+                if old is None:
+                    size += len(text) + 150
+                    seen[text] = place
+                elif place < old:
+                    seen[text] = place
             if size > 64_000_000:
                 yield from flush()
                 seen, size = {}, 0
@@ -340,64 +362,69 @@ def stretch_pass(units: Units, k: int, window: int, buckets: int):
     return run
 
 
-def first_pass(group: Callable, window: int, buckets: int, words: bool):
+#: Bytes of stretches that are put in order at a time; a group of equal anchors stays whole.
+AT_ONCE = 2_000_000
+
+
+def first_pass(group: Callable, window: int, buckets: int):
     """Stretches of a bucket to word on windows that are the first of their kind: place of the stretch and bits for its windows."""
-    width = 128
 
-    def run(batches):
-        text, lens, ids, keys, start = [], [], [], [], []
-        for b in batches:
-            for raw in b.column("payload").to_pylist():
-                x = unpacked(raw, "u1", "i8", "i8", "i8", "i8")
-                for to, a in zip((text, lens, ids, keys, start), x, strict=True):
-                    to.append(a)
-        if not text:
-            return
-        text, lens, ids, keys, start = (np.concatenate(x) for x in (text, lens, ids, keys, start))
+    def firsts(text, lens, ids, keys, start):
         order = np.lexsort((keys, ids))
         new = np.append(True, (ids[order][1:] != ids[order][:-1]) | (keys[order][1:] != keys[order][:-1]))
         rank = np.empty(len(ids), np.int64)
         rank[order] = np.cumsum(new) - 1
-        # group: for all windows the stretch, the offset in it and the class of equal windows
         which, offset, kind = group(text, lens, window)
         place = (rank[which] << 40) | (start[which] + offset)
         order = np.argsort(kind, kind="stable")
-        k = kind[order]
-        head = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+        kind = kind[order]
+        head = np.flatnonzero(np.append(True, kind[1:] != kind[:-1]))
         low = np.minimum.reduceat(place[order], head)
-        keep = order[place[order] == np.repeat(low, np.diff(np.append(head, len(k))))]
-        bits = np.zeros((len(ids), width), np.uint8)
+        keep = order[place[order] == np.repeat(low, np.diff(np.append(head, len(kind))))]
+        bits = np.zeros((len(ids), 128), np.uint8)
         bits[which[keep], offset[keep]] = 1
         some = np.flatnonzero(bits.any(axis=1))
         raw = np.packbits(bits[some], axis=1)
         for b, (i, key, s, r) in by_bucket(keys[some] % buckets, ids[some], keys[some], start[some], raw):
             yield rows_of(4, [b], [packed(i, key, s, r)])
 
+    def run(batches):
+        parts = [unpacked(raw, "u1", "i8", "i8", "i8", "i8", "u8") for b in batches for raw in b.column("payload").to_pylist()]
+        if not parts:
+            return
+        text, lens, ids, keys, start, h = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        order = np.argsort(C.mix(h), kind="stable")
+        begin = (np.cumsum(lens) - lens)[order]
+        lens, ids, keys, start, h = (x[order] for x in (lens, ids, keys, start, h))
+        group_end = np.append(np.flatnonzero(h[1:] != h[:-1]) + 1, len(h))
+        total = np.cumsum(lens)
+        i = 0
+        while i < len(h):
+            want = np.searchsorted(total, (total[i - 1] if i else 0) + AT_ONCE)
+            j = int(group_end[min(np.searchsorted(group_end, want), len(group_end) - 1)])
+            own = lens[i:j]
+            at = np.repeat(begin[i:j] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))
+            yield from firsts(text[at], own, ids[i:j], keys[i:j], start[i:j])
+            i = j
+
     return run
 
 
-def removed(units: Units, n_units: int, u: np.ndarray, cuts: np.ndarray, places: np.ndarray, kept: list[np.ndarray], k: int, window: int) -> np.ndarray:
-    """Which units of a document are covered by a window that also starts earlier."""
-    out = np.zeros(n_units, bool)
-    if not len(places) or n_units < window:
-        return out
-    _, start, n, _ = runs(u, cuts, k, window)
-    pick = np.isin(start, places)
-    start, n = start[pick], n[pick]
-    starts = np.zeros(n_units + 1, np.int64)
-    flag = np.zeros(n_units, bool)
-    np.add.at(starts, start, 1)
-    np.add.at(starts, start + n, -1)
-    flag = np.cumsum(starts)[:-1] > 0
-    at, bits = kept
+def covered(n_units: int, starts: np.ndarray, counts: np.ndarray, at: np.ndarray, bits: np.ndarray, window: int) -> np.ndarray:
+    """Which units are covered by a window that also starts earlier: windows of the runs, but for those marked as first."""
+    edge = np.zeros(n_units + 1, np.int32)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + counts, -1)
+    flag = np.cumsum(edge)[:-1] > 0
     if len(at):
-        rows, cols = np.nonzero(np.unpackbits(bits.view(np.uint8).reshape(len(at), 16), axis=1))
+        rows, cols = np.nonzero(np.unpackbits(np.ascontiguousarray(bits).view(np.uint8).reshape(len(at), 16), axis=1))
         flag[at[rows] + cols] = False
     w = np.flatnonzero(flag)
-    cover = np.zeros(n_units + 1, np.int64)
-    np.add.at(cover, w, 1)
-    np.add.at(cover, w + window, -1)
-    return np.cumsum(cover)[:-1] > 0
+    edge[:] = 0
+    edge[:-1][w] = 1
+    edge[w + window] -= 1
+    return np.cumsum(edge)[:-1] > 0
 
 
 def dedup(docs: DataFrame, scratch: C.Scratch, units: Units, k: int, window: int, group: Callable, finish: Callable, schema: str, sketch: CountMin | None = None) -> DataFrame:
@@ -419,7 +446,7 @@ def dedup(docs: DataFrame, scratch: C.Scratch, units: Units, k: int, window: int
         return out.repartition(n, "bucket").sortWithinPartitions("bucket", "kind")
 
     found_at = C.mapped(beside(places), stretch_pass(units, k, window, n), PACKED)
-    firsts = scratch.store(C.mapped(found_at.repartition(n, "bucket"), first_pass(group, window, n, units.words), PACKED), "firsts")
+    firsts = scratch.store(C.mapped(found_at.repartition(n, "bucket"), first_pass(group, window, n), PACKED), "firsts")
     del found_at
     scratch.release()
 
@@ -429,16 +456,19 @@ def dedup(docs: DataFrame, scratch: C.Scratch, units: Units, k: int, window: int
         names = [f.split()[0] for f in schema.split(", ")]
         types = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
         kinds = [types[f.split()[1]] for f in schema.split(", ")]
-        for doc_id, _, buf, extra in with_payloads(batches, {2: ("i8",), 4: ("i8", "V16")}):
-            data = np.frombuffer(buf, np.uint8)
-            places = np.unique(extra[2][0])
-            gone = None
-            if len(places):
-                u, cuts, _ = units.read(data, np.array([0, len(data)]))
-                gone = removed(units, len(u), u, cuts, places, extra[4], k, window)
-            row = finish(None if doc_id == C.NULL_ID else doc_id, data, gone)
-            rows.append(row)
-            size += sum(len(x) for x in row if isinstance(x, str))
+        for part in gathered(batches, {2: ("i8",), 4: ("i8", "V16")}):
+            some = [i for i, r in enumerate(part) if len(r[3][2][0])]
+            gone: list = [None] * len(part)
+            if some:
+                _, _, cuts, _, doc, start, count, _ = picked_runs(units, [part[i] for i in some], k, window)
+                bounds = np.searchsorted(doc, np.arange(len(some) + 1))
+                for j, i in enumerate(some):
+                    own = slice(bounds[j], bounds[j + 1])
+                    gone[i] = covered(int(cuts[j + 1] - cuts[j]), start[own], count[own], *part[i][3][4], window)
+            for (doc_id, _, buf, _), g in zip(part, gone, strict=True):
+                row = finish(None if doc_id == C.NULL_ID else doc_id, np.frombuffer(buf, np.uint8), g)
+                rows.append(row)
+                size += sum(len(x) for x in row if isinstance(x, str))
             if len(rows) >= 2000 or size > 16_000_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                 rows, size = [], 0

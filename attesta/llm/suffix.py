@@ -74,22 +74,38 @@ def direct_sort(at: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
     return at
 
 
-def two_stage(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """All suffixes in the order of their first `depth` bytes at least, and words_at(text)."""
+def needed_for(small: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Suffixes from starts to ends (inclusive), and those from which the last of them are induced."""
+    n = len(small)
+    direct = np.append(np.flatnonzero(small), n - 1)
+    edge = np.zeros(n + 1, np.int32)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, direct[np.searchsorted(direct[:-1], ends)] + 1, -1)
+    return np.cumsum(edge)[:-1] > 0
+
+
+def two_stage(text: np.ndarray, depth: int, starts: np.ndarray | None = None, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes (all, or those from starts to ends) in the order of their first `depth` bytes at least, and words_at(text)."""
     n = len(text)
     words = words_at(text)
     if not n:
         return np.zeros(0, np.int64), words
     small = smaller_than_next(text)
+    induced = ~small
+    if starts is not None:
+        needed = needed_for(small, starts, ends)
+        induced &= needed
+        small &= needed
     direct = direct_sort(np.flatnonzero(small), words, depth)
     bounds = np.searchsorted(text[direct], np.arange(257))
     queue: list[list[np.ndarray]] = [[] for _ in range(256)]
-    queue[text[n - 1]].append(np.array([n - 1]))
+    if induced[n - 1]:
+        queue[text[n - 1]].append(np.array([n - 1]))
     out = []
 
     def induce(scanned: np.ndarray) -> None:
         before = scanned[scanned > 0] - 1
-        before = before[~small[before]]
+        before = before[induced[before]]
         if not len(before):
             return
         first = text[before]
@@ -110,14 +126,14 @@ def two_stage(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         if len(part):
             out.append(part)
             induce(part)
-    return np.concatenate(out), words
+    return np.concatenate(out) if out else np.zeros(0, np.int64), words
 
 
 def equal_windows(text: np.ndarray, lens: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each window of the stretches: its stretch, its place there, and the class of equal windows."""
-    order, words = two_stage(text, window)
     ends = np.cumsum(lens)
     starts = ends - lens
+    order, words = two_stage(text, window, starts, ends - window)
     which = np.repeat(np.arange(len(lens)), lens)
     order = order[order + window <= ends[which[order]]]
     a, b = order[:-1], order[1:]
