@@ -5,7 +5,11 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = {
+    "op1_embedding_dedup": "embeddings",
+    "op2_url_filter": "urls",
+    "op3_toxicity": "toxicity",
     "op4_suffix_dedup": "suffix",
+    "op5_simhash": "simhash",
     "op8_substring_dedup": "substring",
 }
 
