@@ -10,7 +10,10 @@ _MODULES = {
     "op3_toxicity": "toxicity",
     "op4_suffix_dedup": "suffix",
     "op5_simhash": "simhash",
+    "op6_token_files": "tokenfile",
     "op8_substring_dedup": "substring",
+    "op9_packing": "packing",
+    "op10_line_dedup": "lines",
 }
 
 
