@@ -11,6 +11,7 @@ _MODULES = {
     "op4_suffix_dedup": "suffix",
     "op5_simhash": "simhash",
     "op6_token_files": "tokenfile",
+    "op7_decontamination": "decontaminate",
     "op8_substring_dedup": "substring",
     "op9_packing": "packing",
     "op10_line_dedup": "lines",
