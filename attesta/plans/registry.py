@@ -1,11 +1,19 @@
-"""Registered queries and the SQL that gives the same rows."""
+"""Registered queries and the SQL that gives the same rows. Every query runs over its whole tables."""
 
 from __future__ import annotations
 
+from . import fixtures, tables
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+for module in (tables, fixtures):
+    QUERIES |= module.QUERIES
+    SQL |= module.SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
