@@ -68,7 +68,7 @@ def linked(x: Block, y: Block, a: slice, b: slice, threshold: float) -> tuple[np
     return i[sure] + a.start, j[sure] + b.start
 
 
-def compare(x: Block, y: Block | None, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compare(x: Block, y: Block | None, threshold: float, tile: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links of each vector (weighted by copies) and a spanning forest, within x or between x and y."""
     other = x if y is None else y
     axis = int(np.argmax(x.unit.var(axis=0) + other.unit.var(axis=0)))
@@ -79,10 +79,10 @@ def compare(x: Block, y: Block | None, threshold: float) -> tuple[np.ndarray, np
     total = n + (0 if y is None else len(y.ids))
     degree = np.zeros(total, np.int64)
     label = np.arange(total)
-    for i in range(0, n, TILE):
-        a = slice(i, min(i + TILE, n))
-        for j in range(i if y is None else 0, len(other.ids), TILE):
-            b = slice(j, min(j + TILE, len(other.ids)))
+    for i in range(0, n, tile):
+        a = slice(i, min(i + tile, n))
+        for j in range(i if y is None else 0, len(other.ids), tile):
+            b = slice(j, min(j + tile, len(other.ids)))
             if other.along[b.start] - x.along[a.stop - 1] > reach or x.along[a.start] - other.along[b.stop - 1] > reach:
                 continue
             u, v = linked(x, other, a, b, threshold)
@@ -102,7 +102,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     """vec_id, n_links, component_id, kept for each row."""
     spark = vectors.sparkSession
     scratch = C.Scratch(spark, "embeddings")
-    n = C.partitions(spark)
+    n, tile = C.partitions(spark), TILE
     src = vectors.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(C.NULL_ID)).alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
     fine = F.col("e").isNotNull() & F.coalesce(F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.exists("e", lambda x: x != 0)
     good = src.where(F.coalesce(fine, F.lit(False)))
@@ -141,9 +141,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
             dim, i, j = state["pair"]
             blocks = {g: Block(p, dim) for g, p in state["held"].items()}
             if i == j:
-                out = compare(blocks[i], None, threshold)
+                out = compare(blocks[i], None, threshold, tile)
             elif i in blocks and j in blocks:
-                out = compare(blocks[i], blocks[j], threshold)
+                out = compare(blocks[i], blocks[j], threshold, tile)
             else:
                 return
             degree, label, ids = out

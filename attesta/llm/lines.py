@@ -128,36 +128,40 @@ def signatures(buckets: int):
     return run
 
 
-def candidates(batches):
+def candidates(small_most: int):
     """Payloads of a bucket to rows (key, a, b, large): pairs of small bands; the least line with each other one of large bands."""
-    parts = [unpacked(raw, "u8", "i8") for b in batches for raw in b.column("payload").to_pylist()]
-    if not parts:
-        return
-    key, name = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((name, key))
-    key, name = key[order], name[order]
-    new = np.append(True, (key[1:] != key[:-1]) | (name[1:] != name[:-1]))
-    key, name = key[new], name[new]
-    start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    size = np.diff(np.append(start, len(key)))
-    group = np.repeat(np.arange(len(start)), size)
-    small = (size <= SMALL)[group]
-    out_a, out_b = [], []
-    for d in range(1, SMALL):
-        i = np.flatnonzero((group[d:] == group[:-d]) & small[d:])
-        if not len(i):
-            break
-        out_a.append(name[i])
-        out_b.append(name[i + d])
-    if out_a:
-        pairs = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)]), axis=1)
-        for i in range(0, pairs.shape[1], 100_000):
-            a, b = pairs[:, i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), np.int64)), pa.array(a), pa.array(b), pa.array(np.zeros(len(a), bool))], ["key", "a", "b", "large"])
-    large = np.flatnonzero(~small & np.append(False, group[1:] == group[:-1]))
-    for i in range(0, len(large), 100_000):
-        own = large[i : i + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(key[own].view(np.int64)), pa.array(name[start[group[own]]]), pa.array(name[own]), pa.array(np.ones(len(own), bool))], ["key", "a", "b", "large"])
+
+    def run(batches):
+        parts = [unpacked(raw, "u8", "i8") for b in batches for raw in b.column("payload").to_pylist()]
+        if not parts:
+            return
+        key, name = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((name, key))
+        key, name = key[order], name[order]
+        new = np.append(True, (key[1:] != key[:-1]) | (name[1:] != name[:-1]))
+        key, name = key[new], name[new]
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(start, len(key)))
+        group = np.repeat(np.arange(len(start)), size)
+        small = (size <= small_most)[group]
+        out_a, out_b = [], []
+        for d in range(1, small_most):
+            i = np.flatnonzero((group[d:] == group[:-d]) & small[d:])
+            if not len(i):
+                break
+            out_a.append(name[i])
+            out_b.append(name[i + d])
+        if out_a:
+            pairs = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)]), axis=1)
+            for i in range(0, pairs.shape[1], 100_000):
+                a, b = pairs[:, i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), np.int64)), pa.array(a), pa.array(b), pa.array(np.zeros(len(a), bool))], ["key", "a", "b", "large"])
+        large = np.flatnonzero(~small & np.append(False, group[1:] == group[:-1]))
+        for i in range(0, len(large), 100_000):
+            own = large[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(key[own].view(np.int64)), pa.array(name[start[group[own]]]), pa.array(name[own]), pa.array(np.ones(len(own), bool))], ["key", "a", "b", "large"])
+
+    return run
 
 
 def similar(batches):
@@ -198,7 +202,7 @@ def link_lines(src: DataFrame, scratch: C.Scratch) -> DataFrame:
     spark = scratch.spark
     n = C.partitions(spark)
     dealt = C.mapped(src.select("text"), signatures(n), PACKED).repartition(n, "bucket")
-    pairs = scratch.store(C.mapped(dealt.select("payload"), candidates, "key long, a long, b long, large boolean"), "pairs")
+    pairs = scratch.store(C.mapped(dealt.select("payload"), candidates(SMALL), "key long, a long, b long, large boolean"), "pairs")
     scratch.release()
     asked = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
     # One bit for each of 2^24 values: of fixed size; when it fills up, more lines are looked at, and none is missed.

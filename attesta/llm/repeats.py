@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,20 +53,20 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def runs(u: np.ndarray, offs: np.ndarray, k: int, window: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one anchor: document, first window, number of windows, hash of the anchor. u: unit codes; offs: of documents."""
+    """Runs of windows with one anchor: document, first window, number of windows, hash and place of the anchor. u: unit codes; offs: of documents."""
     out = []
     lens = np.diff(offs)
     if len(u) > (1 << POS_BITS) - 1:
         for d in np.flatnonzero(lens >= window):
             for at in range(0, int(lens[d]) - window + 1, SEGMENT):
                 part = u[offs[d] + at : min(offs[d] + at + SEGMENT + window - 1, offs[d + 1])]
-                _, s, n, h = runs(part, np.array([0, len(part)]), k, window)
-                out.append((np.full(len(s), d), s + at, n, h))
+                _, s, n, h, a = runs(part, np.array([0, len(part)]), k, window)
+                out.append((np.full(len(s), d), s + at, n, h, a + at))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else runs(u[:0], np.zeros(1, np.int64), k, window)
     n = len(u)
     if n < window:
         none = np.zeros(0, np.int64)
-        return none, none, none, np.zeros(0, np.uint64)
+        return none, none, none, np.zeros(0, np.uint64), none
     h = rolling(u, k)
     m = sliding_min((h & ~LOW) | np.arange(len(h), dtype=np.uint64), window - k + 1)
     anchor = (m & LOW).astype(np.int64)
@@ -78,7 +79,7 @@ def runs(u: np.ndarray, offs: np.ndarray, k: int, window: int) -> tuple[np.ndarr
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(good)))
     start = good[first]
-    return doc[start], start - offs[doc[start]], count, h[a[first]]
+    return doc[start], start - offs[doc[start]], count, h[a[first]], a[first] - offs[doc[start]]
 
 
 class Units:
@@ -182,7 +183,7 @@ def anchor_pass(units: Units, k: int, window: int, buckets: int):
         base = 0
         for ids, keys, data, offs in texts_of(batches):
             u, cuts, _ = units.read(data, offs)
-            doc, start, _, h = runs(u, cuts, k, window)
+            doc, start, _, h, _ = runs(u, cuts, k, window)
             held.append((ids, keys, doc + base, start, h))
             base += len(ids)
             size += len(h)
@@ -230,13 +231,19 @@ class CountMin:
         return np.min([merged[r][self.cells(r, ask)] for r in range(self.depth)], axis=0) if len(ask) else np.zeros(0)
 
 
-def count_pass(buckets: int, sketch: CountMin | None):
-    """Payloads of anchor_pass, dealt by bucket, to places of repeated anchors by bucket of their document."""
+#: An anchor is hot if it stands for this share of its bucket and at least so often; so a bucket has at most HOT_SHARE of them.
+HOT_SHARE, HOT_LEAST = 32, 256
+
+
+def count_pass(buckets: int, sketch: CountMin | None, hot_share: int, hot_least: int):
+    """Payloads of anchor_pass, dealt by bucket, to places of repeated anchors by bucket of their document, and (kind 5) hot anchors."""
 
     def run(batches):
         singles: list = []
         hashes: list = []
         counts: list = []
+        again: list = []
+        met = 0
         merged = None
         for b in batches:
             for kind, raw in zip(b.column("kind").to_pylist(), b.column("payload").to_pylist(), strict=True):
@@ -249,18 +256,26 @@ def count_pass(buckets: int, sketch: CountMin | None):
                     singles.append((h, x[1][x[3]], x[2][x[3]], x[4]))
                 else:
                     h, n = unpacked(raw, "u8", "i8")
+                    again.append((h, n))
+                met += int(n.sum())
                 if sketch:
                     own = sketch.sketch(h, n)
                     merged = own if merged is None else sketch.merge(merged, own)
                 else:
                     hashes.append(h)
                     counts.append(n)
+        if again:
+            h, n = (np.concatenate(x) for x in zip(*again, strict=True))
+            h, back = np.unique(h, return_inverse=True)
+            hot = h[np.bincount(back, n) >= max(hot_least, met / hot_share)]
+            if len(hot):
+                yield rows_of(5, [0], [packed(hot)])
         if not singles:
             return
         h, ids, keys, start = (np.concatenate([x[i] for x in singles]) for i in range(4))
         total = sketch.estimate(merged, h) if sketch else exact_counts(np.concatenate(hashes), np.concatenate(counts), h)
-        again = np.flatnonzero(total > 1)
-        yield from found(ids[again], keys[again], start[again], buckets)
+        more = np.flatnonzero(total > 1)
+        yield from found(ids[more], keys[more], start[more], buckets)
 
     return run
 
@@ -319,14 +334,36 @@ def picked_runs(units: Units, rows: list, k: int, window: int):
     data = np.frombuffer(b"".join(r[2] for r in rows), np.uint8)
     offs = np.cumsum([0, *(r[2].size for r in rows)])
     u, cuts, spans = units.read(data, offs)
-    doc, start, n, h = runs(u, cuts, k, window)
+    doc, start, n, h, anchor = runs(u, cuts, k, window)
     wanted = np.concatenate([(np.int64(i) << 40) | p for i, p in enumerate(places)])
     pick = np.flatnonzero(np.isin((doc << 40) | start, wanted))
-    return data, offs, cuts, spans, doc[pick], start[pick], n[pick], h[pick]
+    return data, offs, cuts, spans, doc[pick], start[pick], n[pick], h[pick], anchor[pick]
+
+
+#: Windows around a hot anchor are dealt so many at a time, by what all of them share.
+SHARE_BYTES, SHARE_WORDS = 8, 4
+
+
+def pieces_of(start: int, n: int, anchor: int, share: int) -> list[tuple[int, int, int, int]]:
+    """A run cut where the distance to its anchor is a multiple of share: first window, number, and the stretch common to all windows of such a piece, whole or not."""
+    out = []
+    at = start
+    while at < start + n:
+        low = (anchor - at) // share * share
+        stop = min(start + n, anchor - low + 1)
+        out.append((at, stop - at, anchor - low, share - 1))
+        at = stop
+    return out
+
 
+def stretch_pass(units: Units, k: int, window: int, buckets: int, hot: frozenset = frozenset()):
+    """Documents with the places of their repeated anchors to payloads of stretches, by anchor; each stretch of a partition once.
 
-def stretch_pass(units: Units, k: int, window: int, buckets: int):
-    """Documents with the places of their repeated anchors to payloads of stretches, by anchor; each stretch of a partition once."""
+    A hot anchor would bring all its surroundings to one bucket. Its runs are cut into pieces of a few windows, by the
+    windows' distance from the anchor, and go by a hash of the text that all windows of a piece share: equal windows still
+    meet, and different surroundings part.
+    """
+    share = SHARE_WORDS if units.words else SHARE_BYTES
 
     def run(batches):
         seen: dict[bytes, tuple] = {}
@@ -344,16 +381,18 @@ def stretch_pass(units: Units, k: int, window: int, buckets: int):
             rows = [r for r in rows if len(r[3][2][0])]
             if not rows:
                 continue
-            data, offs, cuts, spans, doc, start, n, h = picked_runs(units, rows, k, window)
-            for i, at, m, hash_ in zip(doc.tolist(), start.tolist(), n.tolist(), h.tolist(), strict=True):
-                text = units.stretch(data, offs, spans, cuts, i, at, m + window - 1)
-                place = (rows[i][0], rows[i][1], at, hash_)
-                old = seen.get(text)
-                if old is None:
-                    size += len(text) + 150
-                    seen[text] = place
-                elif place < old:
-                    seen[text] = place
+            data, offs, cuts, spans, doc, start, n, h, anchor = picked_runs(units, rows, k, window)
+            for i, first, m, hash_, p in zip(doc.tolist(), start.tolist(), n.tolist(), h.tolist(), anchor.tolist(), strict=True):
+                for at, count, core, less in pieces_of(first, m, p, share) if hash_ in hot else [(first, m, 0, 0)]:
+                    text = units.stretch(data, offs, spans, cuts, i, at, count + window - 1)
+                    name = xxhash.xxh3_64_intdigest(units.stretch(data, offs, spans, cuts, i, core, window - less)) if less else hash_
+                    place = (rows[i][0], rows[i][1], at, name)
+                    old = seen.get(text)
+                    if old is None:
+                        size += len(text) + 150
+                        seen[text] = place
+                    elif place < old:
+                        seen[text] = place
             if size > 64_000_000:
                 yield from flush()
                 seen, size = {}, 0
@@ -434,7 +473,10 @@ def dedup(docs: DataFrame, scratch: C.Scratch, units: Units, k: int, window: int
     src = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NULL_ID)).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     src = src.withColumn("rk", F.xxhash64("doc_id", "text"))
     raw = C.mapped(src, anchor_pass(units, k, window, n), PACKED)
-    places = scratch.store(C.mapped(raw.repartition(n, "bucket"), count_pass(n, sketch), PACKED), "places")
+    counted = scratch.store(C.mapped(raw.repartition(n, "bucket"), count_pass(n, sketch, HOT_SHARE, HOT_LEAST), PACKED), "places")
+    places = counted.where("kind = 2")
+    # At most HOT_SHARE numbers from each bucket.
+    hot = frozenset(h for r in counted.where("kind = 5").collect() for h in unpacked(bytes(r.payload), "u8")[0].tolist())
     del raw
     scratch.release()
     full = src.select(F.pmod("rk", F.lit(n)).cast("int").alias("bucket"), F.lit(99).alias("kind"), "doc_id", "rk", "text", F.lit(None).cast("binary").alias("payload"))
@@ -445,7 +487,7 @@ def dedup(docs: DataFrame, scratch: C.Scratch, units: Units, k: int, window: int
             out = out.unionByName(t, allowMissingColumns=True)
         return out.repartition(n, "bucket").sortWithinPartitions("bucket", "kind")
 
-    found_at = C.mapped(beside(places), stretch_pass(units, k, window, n), PACKED)
+    found_at = C.mapped(beside(places), stretch_pass(units, k, window, n, hot), PACKED)
     firsts = scratch.store(C.mapped(found_at.repartition(n, "bucket"), first_pass(group, window, n), PACKED), "firsts")
     del found_at
     scratch.release()
@@ -460,7 +502,7 @@ def dedup(docs: DataFrame, scratch: C.Scratch, units: Units, k: int, window: int
             some = [i for i, r in enumerate(part) if len(r[3][2][0])]
             gone: list = [None] * len(part)
             if some:
-                _, _, cuts, _, doc, start, count, _ = picked_runs(units, [part[i] for i in some], k, window)
+                _, _, cuts, _, doc, start, count, *_ = picked_runs(units, [part[i] for i in some], k, window)
                 bounds = np.searchsorted(doc, np.arange(len(some) + 1))
                 for j, i in enumerate(some):
                     own = slice(bounds[j], bounds[j + 1])

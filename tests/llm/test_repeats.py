@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from attesta.llm import substring, suffix
+from attesta.llm import repeats, substring, suffix
 
 
 def brute(units, window):
@@ -35,7 +35,10 @@ def corpus(seed):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_op4_matches_brute_force(spark, seed):
+def test_op4_matches_brute_force(spark, seed, monkeypatch):
+    if seed == 2:  # nearly every repeated anchor is hot
+        monkeypatch.setattr(repeats, "HOT_SHARE", 10**9)
+        monkeypatch.setattr(repeats, "HOT_LEAST", 2)
     texts = corpus(seed)
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, payload string, bucket int")
     got = {r.doc_id: r for r in suffix.remove_repeated_bytes(df.repartition(3)).collect()}
@@ -47,7 +50,10 @@ def test_op4_matches_brute_force(spark, seed):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_op8_matches_brute_force(spark, seed):
+def test_op8_matches_brute_force(spark, seed, monkeypatch):
+    if seed == 2:
+        monkeypatch.setattr(repeats, "HOT_SHARE", 10**9)
+        monkeypatch.setattr(repeats, "HOT_LEAST", 2)
     texts = corpus(seed)
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id: r for r in substring.remove_repeated_words(df.repartition(3)).collect()}
@@ -74,3 +80,14 @@ def test_two_stage_orders_suffixes():
         order, _ = suffix.two_stage(text, max(8, n))
         raw = text.tobytes()
         assert order.tolist() == sorted(range(n), key=lambda i: raw[i:])
+
+
+def test_pieces_are_cut_by_distance_from_the_anchor():
+    whole = repeats.pieces_of(10, 30, 45, 8)
+    assert [w for at, n, _, _ in whole for w in range(at, at + n)] == list(range(10, 40))
+    for start in range(10, 40):
+        for n in range(1, 41 - start):
+            for at, m, core, less in repeats.pieces_of(start, n, 45, 8):
+                for w in range(at, at + m):
+                    own = next(p for p in whole if p[0] <= w < p[0] + p[1])
+                    assert (core, less) == own[2:] and w <= core and core - w <= less
