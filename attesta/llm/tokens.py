@@ -8,6 +8,8 @@ library whole.
 
 from __future__ import annotations
 
+from struct import pack
+
 import numpy as np
 import public_tokenizers
 import regex
@@ -33,19 +35,22 @@ class Encoder:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.letters = byte_letters()
+        self.space = self.letters[32]
         self.cut = regex.compile(public_tokenizers.PATTERN)
         self.words: dict[str, bytes] = {}
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
 
     def stretch(self, text: str) -> bytes:
         """Ids of what the pattern does not cut."""
-        letters = text.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+        return self.merged(text.encode().decode("latin-1").translate(self.letters))
+
+    def merged(self, letters: str) -> bytes:
+        return pack("<%dI" % len(found), *[t.id for t in found]) if (found := self.model.tokenize(letters)) else b""
 
     def word(self, word: str) -> bytes:
         """Ids of a word behind a space."""
         if word.isalpha():
-            out = self.stretch(" " + word)
+            out = self.merged(self.space + word) if word.isascii() else self.stretch(" " + word)
         elif word and word[-1] in END_MARKS and word[:-1].isalpha():
             known = self.words.get(word[:-1])
             out = (self.word(word[:-1]) if known is None else known) + self.plain(word[-1])
