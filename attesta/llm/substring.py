@@ -84,5 +84,15 @@ def remove_repeated_words(docs: DataFrame, window: int = WINDOW, anchor: int = A
     return R.dedup(docs, scratch, R.Units(True), anchor, window, equal_windows, finish_text if texts else finish, f"doc_id long, n_words long, n_removed long, {last}", R.CountMin(depth, cell_bits))
 
 
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+u AS (SELECT doc_id, j, w[j] AS word, CASE WHEN j + 19 <= len(w) THEN array_to_string(w[j:j + 19], ' ') END AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS j FROM d)),
+f AS (SELECT doc_id, j, word, (win IS NOT NULL AND row_number() OVER (PARTITION BY win ORDER BY doc_id, j) > 1)::INT AS again FROM u),
+g AS (SELECT doc_id, j, word, max(again) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM f),
+k AS (SELECT doc_id, sum(gone)::BIGINT AS n, string_agg(word, ' ' ORDER BY j) FILTER (WHERE gone = 0) AS kept FROM g GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(k.n, 0)::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_words(C.table(spark, sf_dir, "documents"))

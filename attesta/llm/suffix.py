@@ -169,5 +169,16 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, anchor: int = A
     return R.dedup(docs, scratch, R.Units(False), anchor, window, equal_windows, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+ORACLE_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+u AS (SELECT doc_id, j, substr(h, 2 * j - 1, 2) AS b, CASE WHEN 2 * j + 198 <= length(h) THEN md5(substr(h, 2 * j - 1, 200)) END AS win FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 + 1)) AS j FROM d)),
+f AS (SELECT doc_id, j, b, (win IS NOT NULL AND row_number() OVER (PARTITION BY win ORDER BY doc_id, j) > 1)::INT AS again FROM u),
+g AS (SELECT doc_id, j, b, max(again) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone FROM f),
+s AS (SELECT *, gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY j), 0) = 0 AS opens FROM g),
+k AS (SELECT doc_id, sum(gone)::BIGINT AS n, count(*) FILTER (WHERE opens) AS spans, string_agg(b, '' ORDER BY j) FILTER (WHERE gone = 0) AS kept FROM s GROUP BY doc_id)
+SELECT d.doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, coalesce(k.n, 0)::BIGINT AS n_removed, coalesce(k.spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k.kept, ''))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(C.table(spark, sf_dir, "documents"))
