@@ -5,10 +5,10 @@ linked if the Jaccard similarity of their sets of SHINGLE-character shingles (a
 SIMILARITY. Candidates share one of BANDS bands of ROWS minimal hashes (a pair at 0.8 is found with 99.98 %) and are
 verified on their texts. Equal lines are one node, named by a 64-bit hash.
 
-A band with up to SMALL different lines gives all its pairs, so no line has more than that many partners from a band. In a
-larger one all lines are compared with its least; any that are not similar to it are compared with all others, while the
-similar ones are joined already. Components come from distributed star contraction; the line kept is that of the
-smallest (doc_id, hash of the text, line number).
+In a band all lines are compared with the most widespread one. Classes are formed from what was found in all bands;
+then lines that share a band and are in different classes yet are compared too. So every pair that shares a band has been
+compared or is in one class without it. Components come from distributed star contraction; the line kept is that of
+the smallest (doc_id, hash of the text, line number).
 
 Null texts are one blank line; rows that repeat a doc_id with equal text are one document and give equal rows. An empty
 table gives no rows.
@@ -29,7 +29,6 @@ from .repeats import PACKED, by_bucket, packed, rolling, rows_of, unpacked
 
 SHINGLE, SIMILARITY = 8, 0.8
 BANDS, ROWS = 12, 3
-SMALL = 32
 BLOOM_BITS = 24
 WHITE = " \t\r\x0b\x0c"
 
@@ -128,40 +127,31 @@ def signatures(buckets: int):
     return run
 
 
-def candidates(small_most: int):
-    """Payloads of a bucket to rows (key, a, b, large): pairs of small bands; the least line with each other one of large bands."""
-
-    def run(batches):
-        parts = [unpacked(raw, "u8", "i8") for b in batches for raw in b.column("payload").to_pylist()]
-        if not parts:
-            return
-        key, name = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((name, key))
-        key, name = key[order], name[order]
-        new = np.append(True, (key[1:] != key[:-1]) | (name[1:] != name[:-1]))
-        key, name = key[new], name[new]
-        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        size = np.diff(np.append(start, len(key)))
-        group = np.repeat(np.arange(len(start)), size)
-        small = (size <= small_most)[group]
-        out_a, out_b = [], []
-        for d in range(1, small_most):
-            i = np.flatnonzero((group[d:] == group[:-d]) & small[d:])
-            if not len(i):
-                break
-            out_a.append(name[i])
-            out_b.append(name[i + d])
-        if out_a:
-            pairs = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)]), axis=1)
-            for i in range(0, pairs.shape[1], 100_000):
-                a, b = pairs[:, i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), np.int64)), pa.array(a), pa.array(b), pa.array(np.zeros(len(a), bool))], ["key", "a", "b", "large"])
-        large = np.flatnonzero(~small & np.append(False, group[1:] == group[:-1]))
-        for i in range(0, len(large), 100_000):
-            own = large[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(key[own].view(np.int64)), pa.array(name[start[group[own]]]), pa.array(name[own]), pa.array(np.ones(len(own), bool))], ["key", "a", "b", "large"])
-
-    return run
+def candidates(batches):
+    """Payloads of a bucket to rows (key, a, b): in each band the most widespread line a with each other line b.
+
+    Most widespread is the one that most partitions have sent: of a family of edited copies that is the original, to
+    which the others are close. Bands of two lines have key 0, as they are done with one comparison.
+    """
+    parts = [unpacked(raw, "u8", "i8") for b in batches for raw in b.column("payload").to_pylist()]
+    if not parts:
+        return
+    key, name = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((name, key))
+    key, name = key[order], name[order]
+    first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (name[1:] != name[:-1])))
+    sent = np.diff(np.append(first, len(key)))
+    key, name = key[first], name[first]
+    order = np.lexsort((name, -sent, key))
+    key, name = key[order], name[order]
+    start = np.append(True, key[1:] != key[:-1])
+    size = np.diff(np.append(np.flatnonzero(start), len(key)))
+    pivot = np.repeat(name[start], size)
+    wide = np.repeat(size, size) > 2
+    at = np.flatnonzero(~start)
+    for i in range(0, len(at), 100_000):
+        own = at[i : i + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(np.where(wide[own], key[own].view(np.int64), 0)), pa.array(pivot[own]), pa.array(name[own])], ["key", "a", "b"])
 
 
 def similar(batches):
@@ -173,7 +163,6 @@ def similar(batches):
             if last[0] != a:
                 last = (a, shingles(x))
             p = last[1]
-            low, high = sorted((len(p), max(1, len(y) - SHINGLE + 1)))
             # A line has at most as many shingles as places; that bounds the similarity from above.
             if len(p) * SIMILARITY > max(1, len(y) - SHINGLE + 1):
                 found.append(False)
@@ -198,11 +187,11 @@ def name_lines(batches):
 
 
 def link_lines(src: DataFrame, scratch: C.Scratch) -> DataFrame:
-    """Verified links (u, v) between names of different lines of src (doc_id, text, rk)."""
+    """(u, v): v is the least name of the class of line u, for lines of src (doc_id, text, rk) that are not the least themselves."""
     spark = scratch.spark
     n = C.partitions(spark)
     dealt = C.mapped(src.select("text"), signatures(n), PACKED).repartition(n, "bucket")
-    pairs = scratch.store(C.mapped(dealt.select("payload"), candidates(SMALL), "key long, a long, b long, large boolean"), "pairs")
+    pairs = scratch.store(C.mapped(dealt.select("payload"), candidates, "key long, a long, b long"), "pairs")
     scratch.release()
     asked = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
     # One bit for each of 2^24 values: of fixed size; when it fills up, more lines are looked at, and none is missed.
@@ -230,20 +219,25 @@ def link_lines(src: DataFrame, scratch: C.Scratch) -> DataFrame:
         return C.mapped(p.select("a", "b").distinct().join(y, "b").join(x, "a"), similar, "u long, v long, similar boolean")
 
     first = scratch.store(verified(pairs), "verified")
-    edges = first.where("similar").select("u", "v")
-    large = pairs.where("large")
-    if large.limit(1).count():
-        apart = large.join(first.where("not similar"), (F.col("a") == F.col("u")) & (F.col("b") == F.col("v"))).select("key", F.col("b").alias("lone"))
-        members = large.select("key", F.col("b").alias("other"))
-        more = apart.join(members, "key").where("lone <> other").select(F.least("lone", "other").alias("a"), F.greatest("lone", "other").alias("b"))
-        second = scratch.store(verified(more), "verified")
-        edges = edges.unionByName(second.where("similar").select("u", "v"))
-    return edges
+    low = C.components(first.where("similar").select("u", "v"), scratch)
+    # A link inside a class changes nothing, so only lines of different classes that share a band are compared further.
+    wide = pairs.where("key <> 0")
+    members = wide.select("key", F.col("b").alias("name")).unionByName(wide.select("key", F.col("a").alias("name")).distinct())
+    members = scratch.store(members.join(low, members.name == low.u, "left").select("key", "name", F.coalesce("v", "name").alias("class")), "members")
+    mixed = members.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.mode("class").alias("main")).where("low <> high").select("key", "main")
+    some = scratch.store(members.join(mixed, "key"), "mixed")
+    x, y = (some.select("key", "main", F.col("name").alias(f"n{k}"), F.col("class").alias(f"c{k}")) for k in (1, 2))
+    more = x.where("c1 <> main").join(y.drop("main"), "key").where("c1 <> c2").select(F.least("n1", "n2").alias("a"), F.greatest("n1", "n2").alias("b")).distinct()
+    done = first.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+    second = scratch.store(verified(more.join(done, ["a", "b"], "left_anti")).where("similar").select("u", "v"), "verified")
+    if not second.limit(1).count():
+        return low
+    return C.components(low.unionByName(second), scratch)
 
 
 def surplus_lines(src: DataFrame, scratch: C.Scratch) -> DataFrame:
     """(doc_id, rk, gone): numbers of the lines that a document loses. src: doc_id, text, rk."""
-    low = C.components(link_lines(src, scratch), scratch)
+    low = link_lines(src, scratch)
     every = scratch.store(C.mapped(src, name_lines, "name long, doc_id long, rk long, line long"), "lines")
     place = F.struct("doc_id", "rk", "line")
     classed = every.join(low, every.name == low.u, "left").select(F.coalesce("v", "name").alias("class"), place.alias("place"))
@@ -257,23 +251,34 @@ def keyed(docs: DataFrame, *more: str) -> DataFrame:
     return src.withColumn("rk", F.xxhash64("doc_id", "text"))
 
 
-def without_lines(src: DataFrame, gone: DataFrame) -> DataFrame:
-    """src with columns lines (kept ones, as they stand), n_lines and n_removed."""
+def without_lines(src: DataFrame, gone: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """doc_id, the columns in keep, n_lines, n_removed and kept_text of src: the lines that stay, as they stand."""
     g = gone.select(F.col("doc_id").alias("g_id"), F.col("rk").alias("g_rk"), "gone").hint("shuffle_hash")
-    out = src.join(g, (F.col("doc_id") == F.col("g_id")) & (F.col("rk") == F.col("g_rk")), "left").drop("g_id", "g_rk", "rk")
-    return out.withColumn("parts", F.split("text", "\n", -1)).withColumn("n_lines", F.size("parts").cast("long")).withColumn(
-        "n_removed", F.coalesce(F.size("gone"), F.lit(0)).cast("long")
-    ).withColumn("lines", F.when(F.col("gone").isNull(), F.col("parts")).otherwise(F.filter("parts", lambda x, i: ~F.array_contains("gone", i.cast("long"))))).drop("parts", "gone")
+    both = src.join(g, (F.col("doc_id") == F.col("g_id")) & (F.col("rk") == F.col("g_rk")), "left")
+    types = {f.name: f.dataType.simpleString() for f in src.schema.fields}
+
+    def run(batches):
+        for b in batches:
+            total, removed, texts = [], [], []
+            for text, numbers in zip(b.column("text").to_pylist(), b.column("gone").to_pylist(), strict=True):
+                parts = text.split("\n")
+                out = set(numbers or ())
+                total.append(len(parts))
+                removed.append(len(out))
+                texts.append("\n".join(x for i, x in enumerate(parts) if i not in out) if out else text)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(b.column(c) for c in keep), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], ["doc_id", *keep, "n_lines", "n_removed", "kept_text"])
+
+    schema = ", ".join(["doc_id long", *(f"`{c}` {types[c]}" for c in keep), "n_lines long, n_removed long, kept_text string"])
+    return C.mapped(both.select("doc_id", *keep, "text", "gone"), run, schema)
 
 
 def dedup_lines(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_text and further columns of docs, for each row."""
     scratch = C.Scratch(docs.sparkSession, "lines")
-    src = keyed(docs, *keep)
     gone = scratch.store(surplus_lines(keyed(docs), scratch), "gone")
     scratch.release()
-    out = without_lines(src, gone)
-    return out.select(F.nullif("doc_id", F.lit(C.NULL_ID)).alias("doc_id"), *keep, "n_lines", "n_removed", F.array_join("lines", "\n").alias("kept_text"))
+    out = without_lines(keyed(docs, *keep), gone, keep)
+    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(C.NULL_ID)))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
