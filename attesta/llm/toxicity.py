@@ -172,10 +172,24 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     candidates = tallied.where(F.col("n") >= least).orderBy(F.desc("n"), "code").limit(8 * FEATURES).toArrow()
     known = Vocabulary(candidates.column("code").to_numpy().view(np.uint64))
 
+    def share(batches):
+        in_p, in_u = (np.zeros(len(known.known), np.int64) for _ in range(2))
+        for (p,), data, offs in chunks_of(batches, "p"):
+            doc, at = known.present(*features(data, offs), len(offs) - 1)
+            is_p = p.to_numpy(zero_copy_only=False)[doc] == 1
+            in_p += np.bincount(at[is_p], minlength=len(in_p))
+            in_u += np.bincount(at[~is_p], minlength=len(in_u))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(in_p))), pa.array(in_p), pa.array(in_u)], ["at", "in_p", "in_u"])
+
+    # One row for each candidate.
+    shares = C.mapped(sample, share, "at long, in_p long, in_u long").groupBy("at").agg(F.sum("in_p").alias("in_p"), F.sum("in_u").alias("in_u")).orderBy("at").toArrow()
+    chosen = known.known[choose(shares.column("in_p").to_numpy(), shares.column("in_u").to_numpy(), n_p, n_u)]
+    words = Vocabulary(chosen)
+
     def presence(batches):
         for (p,), data, offs in chunks_of(batches, "p"):
             n = len(offs) - 1
-            doc, at = known.present(*features(data, offs), n)
+            doc, at = words.present(*features(data, offs), n)
             bounds = np.searchsorted(doc, np.arange(n + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([p, pa.ListArray.from_arrays(pa.array(bounds), pa.array(at.astype(np.int32)))], ["p", "at"])
 
@@ -185,18 +199,13 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     lists = [x.values.to_numpy() for x in rows.column("at").combine_chunks()]
     order = sorted(range(len(lists)), key=lambda i: (lists[i].tolist(), mark[i]))
     positive, other = ([lists[i] for i in order if mark[i] == k] for k in (1, 0))
-    chosen = choose(positive, other, len(known.known))
-    place = np.full(len(known.known), -1)
-    place[chosen] = np.arange(len(chosen))
-    positive, other = ([place[x][place[x] >= 0] for x in rows] for rows in (positive, other))
-    return known.known[chosen], *fit(positive, other, len(chosen), prior)
-
-
-def choose(positive: list[np.ndarray], other: list[np.ndarray], n: int) -> np.ndarray:
-    """Features whose share of P is surely above their share of U: by a lower bound of two standard errors of the difference."""
-    a, b = (np.bincount(np.concatenate([np.zeros(0, np.int64), *x]), minlength=n) for x in (positive, other))
-    p, u = a / len(positive), (b + 1) / len(other)
-    sure = p - 2.5 * np.sqrt(p / len(positive) + u / len(other))
+    return chosen, *fit(positive, other, len(chosen), prior)
+
+
+def choose(in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int) -> np.ndarray:
+    """Features whose share of P is surely above their share of U: by a lower bound of 2.5 standard errors of the difference."""
+    p, u = in_p / n_p, (in_u + 1) / n_u
+    sure = p - 2.5 * np.sqrt(p / n_p + u / n_u)
     good = np.flatnonzero(sure > LIFT * u)
     return np.sort(good[np.argsort(-(sure / u)[good], kind="stable")[:FEATURES]])
 
