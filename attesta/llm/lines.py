@@ -30,6 +30,8 @@ from .repeats import PACKED, by_bucket, packed, rolling, rows_of, unpacked
 SHINGLE, SIMILARITY = 8, 0.8
 BANDS, ROWS = 12, 3
 BLOOM_BITS = 24
+#: Cells for shingles of lines that are compared further, and how many of them make a slice.
+CELL_BITS, SLICE_BITS = 26, 20
 WHITE = " \t\r\x0b\x0c"
 
 
@@ -173,6 +175,79 @@ def similar(batches):
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(found, pa.bool_())], ["u", "v", "similar"])
 
 
+def shingle_cells(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Line and cell of each different shingle of each line."""
+    lens = np.array([len(x) for x in lines])
+    count = np.maximum(lens - SHINGLE + 1, 1)
+    codes = np.frombuffer("".join(x.ljust(SHINGLE, "\0") for x in lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    filled = np.maximum(lens, SHINGLE)
+    begin = np.repeat(np.cumsum(filled) - filled, count) + (np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count))
+    h = rolling(codes, SHINGLE)[begin] >> np.uint64(64 - CELL_BITS)
+    both = np.unique(np.repeat(np.arange(len(lines)), count).astype(np.uint64) << np.uint64(CELL_BITS) | h)
+    return (both >> np.uint64(CELL_BITS)).astype(np.int64), (both & np.uint64((1 << CELL_BITS) - 1)).astype(np.int64)
+
+
+def count_cells(batches):
+    """Lines to payloads of a partition's cells: those met once, and those met more often, by slice of the cells."""
+    parts = []
+    for b in batches:
+        lines = b.column("line").to_pylist()
+        for i in range(0, len(lines), 500):
+            parts.append(np.stack(np.unique(shingle_cells(lines[i : i + 500])[1], return_counts=True)))
+    if not parts:
+        return
+    both = np.concatenate(parts, axis=1)
+    cell, back = np.unique(both[0], return_inverse=True)
+    seen = np.bincount(back, both[1])
+    for b, (c, n) in by_bucket(cell >> SLICE_BITS, cell, seen):
+        yield rows_of(0, [b], [packed(c[n == 1].astype(np.int32), c[n > 1].astype(np.int32))])
+
+
+def shared_cells(batches):
+    """Payloads of whole slices to one row for each slice: a bit for each cell that more than one line has."""
+    slices: dict[int, list] = {}
+    for b in batches:
+        for k, raw in zip(b.column("bucket").to_pylist(), b.column("payload").to_pylist(), strict=True):
+            slices.setdefault(k, []).append(unpacked(raw, "i4", "i4"))
+    for k, parts in slices.items():
+        n = np.zeros(1 << SLICE_BITS, np.int32)
+        for once, more in parts:
+            n[once & (1 << SLICE_BITS) - 1] += 1
+            n[more & (1 << SLICE_BITS) - 1] += 2
+        yield rows_of(0, [k], [np.packbits(n > 1).tobytes()])
+
+
+def linkable(src: DataFrame, n: int) -> DataFrame:
+    """Those names of (name, line) that can have a similar line among the others at all.
+
+    A line of which more than 1 - SIMILARITY of the shingles stand in no other line is similar to none. Cells may be
+    shared by chance, never the other way round, so no line with a similar one is left out.
+    """
+    dealt = C.mapped(src.select("line"), count_cells, PACKED).repartition(n, "bucket")
+    found = C.mapped(dealt, shared_cells, PACKED).collect()  # 2^CELL_BITS bits, however many lines there are
+    bits = np.zeros((1 << CELL_BITS) // 8, np.uint8)
+    for r in found:
+        at = r.bucket << (SLICE_BITS - 3)
+        bits[at : at + (1 << (SLICE_BITS - 3))] = np.frombuffer(bytes(r.payload), np.uint8)
+    held = src.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
+        table = held.value
+        for b in batches:
+            lines, names = b.column("line").to_pylist(), b.column("name").to_numpy(zero_copy_only=False)
+            for i in range(0, len(lines), 500):
+                part = lines[i : i + 500]
+                line, cell = shingle_cells(part)
+                shared = (table[cell >> 3] >> (7 - (cell & 7)) & 1).astype(np.int64)
+                # Two shingles of a line may fall into one cell, which makes both counts smaller: sizes are those of the sets.
+                size = np.array([len(shingles(x)) for x in part])
+                alone = np.bincount(line, 1 - shared, len(part))
+                good = (size - alone) >= SIMILARITY * size - 1e-9
+                yield pa.RecordBatch.from_arrays([pa.array(names[i : i + 500][good])], ["name"])
+
+    return C.mapped(src.select("name", "line"), run, "name long")
+
+
 def name_lines(batches):
     """All lines but blank ones: name, document and line number."""
     for b in batches:
@@ -226,6 +301,8 @@ def link_lines(src: DataFrame, scratch: C.Scratch) -> DataFrame:
     members = scratch.store(members.join(low, members.name == low.u, "left").select("key", "name", F.coalesce("v", "name").alias("class")), "members")
     mixed = members.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.mode("class").alias("main")).where("low <> high").select("key", "main")
     some = scratch.store(members.join(mixed, "key"), "mixed")
+    open_ = scratch.store(linkable(texts.join(some.select("name").distinct(), "name", "left_semi"), n), "linkable")
+    some = some.join(open_, "name", "left_semi").select("key", "main", "name", "class")
     x, y = (some.select("key", "main", F.col("name").alias(f"n{k}"), F.col("class").alias(f"c{k}")) for k in (1, 2))
     more = x.where("c1 <> main").join(y.drop("main"), "key").where("c1 <> c2").select(F.least("n1", "n2").alias("a"), F.greatest("n1", "n2").alias("b")).distinct()
     done = first.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
