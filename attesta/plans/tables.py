@@ -74,6 +74,18 @@ def snapshot_integrity(spark, sf_dir):
     return lifecycle.repair(s).select(F.col("id").alias("doc_id"), "state", F.sha2("text", 256).alias("text_digest"))
 
 
+@query("snapshot_integrity_whole", r"""
+SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'mismatch' WHEN doc_id % 3 = 1 AND contains(text, chr(10)) THEN 'repaired' ELSE 'ok' END AS state,
+  sha256(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS text_digest FROM documents""")
+def snapshot_integrity_whole(spark, sf_dir):
+    """snapshot_integrity leaves out documents with both changes, as its SQL does; here they have changed line feeds and a changed text."""
+    d = table(spark, sf_dir, "documents")
+    kept = F.when(F.col("doc_id") % 3 == 1, F.replace("text", F.lit("\n"), F.lit("\r"))).otherwise(F.col("text"))
+    stored = F.when(F.col("doc_id") % 5 == 0, F.concat(kept, F.lit("!"))).when(F.col("doc_id") % 3 == 2, F.replace(kept, F.lit("\n"), F.lit("\r\n"))).otherwise(kept)
+    s = d.select(F.col("doc_id").alias("id"), F.encode(stored, "UTF-8").alias("raw"), F.sha2(kept, 256).alias("sha256"))
+    return lifecycle.repair(s).select(F.col("id").alias("doc_id"), "state", F.sha2("text", 256).alias("text_digest"))
+
+
 @query("numbers_extract", r"""
 SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '\d+(?:[.,]\d+)*'), lambda x: replace(replace(x, '.', ''), ',', '')))), ' ') AS numbers FROM documents""")
 def numbers_extract(spark, sf_dir):
