@@ -1,7 +1,7 @@
 """Substring dedup (operator 8): removes words covered by a window of `window` words that also starts earlier.
 
-Partitions count anchors of their windows in count-min sketches, one for each bucket of anchors; a bucket adds the
-sketches of all partitions up. Estimates are never too small, so every window that repeats is estimated repeated; a
+Partitions send the hashes of their windows' anchors, with document and place for those met once, to buckets; a bucket
+counts each payload in a count-min sketch and adds the sketches up. Estimates are never too small, so every window that repeats is estimated repeated; a
 second pass groups only those, exactly, by their words. (A sketch for the whole corpus would have to grow with it and
 go to every task; in buckets it is as large, but each task holds a share of fixed size.)
 
