@@ -2,8 +2,8 @@
 
 A byte-level BPE cuts a text into stretches by a pattern before it merges anything, and always cuts before a single space
 that a non-space follows. So a text can be taken apart at its spaces, and the ids of a word are looked up or, when new,
-come from the library's BPE model. Texts for which that doesn't hold (runs of spaces, special tokens) go to the
-library whole.
+come from the library's BPE model. Texts for which that doesn't hold (a space with white space of any kind behind it,
+special tokens) go to the library whole.
 """
 
 from __future__ import annotations
@@ -17,8 +17,10 @@ from tokenizers import Tokenizer
 
 DEFAULT = public_tokenizers.path("byte_bpe_50k.json")
 #: Words that are remembered in a Python worker; about 200 bytes each. Later words are encoded each time.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 END_MARKS = frozenset(".,;:!?")
+#: A space that does not begin a stretch: white space is behind it.
+LOOSE = regex.compile(r" \s")
 
 
 def byte_letters() -> dict[int, str]:
@@ -69,7 +71,7 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if "  " in text or "\0" in text or any(s in text for s in self.special):
+        if LOOSE.search(text) or "\0" in text or any(s in text for s in self.special):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         first, *rest = text.split(" ")
         ids = list(map(self.words.get, rest))

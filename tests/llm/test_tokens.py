@@ -1,9 +1,11 @@
 import collections
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from tokenizers import Tokenizer
 
 from attesta.llm import packing, tokenfile, tokens
@@ -94,3 +96,12 @@ def test_plan_is_close_to_the_bound():
     # The program's part is most of the plan.
     assert sum(n for _, n in packing.configurations(dict(counts), 1024)) > 0.3 * bound
     assert packing.plan({}) == [] and packing.plan({5: 3}) == [({5: 3}, 1)]
+
+
+def test_white_space_of_any_kind_is_cut_as_the_library_does(whole):
+    white = [chr(c) for c in range(0x3001) if regex.match(r"\s", chr(c))]
+    signs = white + [" "] * len(white) + [*"ab.'é1漢", "'s", "!", "\x1c", "​"]
+    pick = random.Random(5)
+    e = tokens.Encoder()
+    for t in [" \xa0 \xa0", *("".join(pick.choices(signs, k=pick.randint(0, 9))) for _ in range(100_000))]:
+        assert e.encode(t) == np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
