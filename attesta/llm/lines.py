@@ -3,12 +3,12 @@
 Lines are what stands between line feeds, without white space around them; blank lines are left alone. Two lines are
 linked if the Jaccard similarity of their sets of SHINGLE-character shingles (a shorter line is one shingle) is at least
 SIMILARITY. Candidates share one of BANDS bands of ROWS minimal hashes (a pair at 0.8 is found with 99.98 %) and are
-verified on their texts. Equal lines are one node, named by a 64-bit hash.
+verified on their sets of shingles, by 64-bit hashes. Equal lines are one node, named by a 64-bit hash.
 
-In a band all lines are compared with the most widespread one. Classes are formed from what was found in all bands;
-then lines that share a band and are in different classes yet are compared too. So every pair that shares a band has been
-compared or is in one class without it. Components come from distributed star contraction; the line kept is that of
-the smallest (doc_id, hash of the text, line number).
+The lines that share a band are a group, which groups.py compares: every pair of a group is compared exactly, turned away by
+a bound, or in one class without it. Components come from distributed star contraction; the line kept is that of
+the smallest (doc_id, hash of the text, line number). Of a line, or a class of lines, that repeats within a partition, only
+the first place leaves it, so a line that stands in a third of all rows is one entry from each partition.
 
 Null texts are one blank line; rows that repeat a doc_id with equal text are one document and give equal rows. An empty
 table gives no rows.
@@ -16,8 +16,6 @@ table gives no rows.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -25,13 +23,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
+from .groups import Asked, similar_links
 from .repeats import PACKED, by_bucket, packed, rolling, rows_of, unpacked
 
 SHINGLE, SIMILARITY = 8, 0.8
 BANDS, ROWS = 12, 3
-BLOOM_BITS = 24
-#: Cells for shingles of lines that are compared further, and how many of them make a slice.
-CELL_BITS, SLICE_BITS = 26, 20
+#: Buckets of band keys for each partition; one is held in memory at a time, with 12 bytes for each line and band.
+SLICES = 4
+#: Lines after which a partition sends what it has gathered.
+FLUSH = 200_000
 WHITE = " \t\r\x0b\x0c"
 
 
@@ -49,12 +49,8 @@ def shingles(line: str) -> set[str]:
     return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
 
-_SEEDS = C.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
-_XOR, _ODD = (_SEEDS >> np.uint64(32)).astype(np.uint32), (_SEEDS.astype(np.uint32) | np.uint32(1))
-
-
-def band_keys(lines: list[str]) -> np.ndarray:
-    """BANDS keys for each line, as many rows as lines."""
+def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each shingle, repeats included, and where each line's begin, and the end."""
     lens = np.array([len(x) for x in lines])
     codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     short = lens < SHINGLE
@@ -65,43 +61,61 @@ def band_keys(lines: list[str]) -> np.ndarray:
         first = np.cumsum(filled) - filled
         out[np.repeat(first - (np.cumsum(lens) - lens), lens) + np.arange(len(codes))] = codes
         codes, lens = out, filled
-    ends = np.cumsum(lens)
-    h = (rolling(codes, SHINGLE) >> np.uint64(32)).astype(np.uint32)
-    starts = ends - lens
+    h = rolling(codes, SHINGLE)
     # The last SHINGLE - 1 places of a line start no shingle of it.
-    inside = np.arange(len(h)) + SHINGLE <= np.repeat(ends, lens)[: len(h)]
-    count = lens - SHINGLE + 1
-    h, starts = h[inside], np.cumsum(count) - count
-    keys = np.empty((len(lens), BANDS), np.uint64)
+    inside = np.ones(len(codes), bool)
+    ends = np.cumsum(lens)
+    for k in range(1, SHINGLE):
+        inside[ends - k] = False
+    return h[inside[: len(h)]], np.append(0, np.cumsum(lens - SHINGLE + 1))
+
+
+_SEEDS = C.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
+_ADD, _ODD = (_SEEDS >> np.uint64(32)).astype(np.uint32), (_SEEDS.astype(np.uint32) | np.uint32(1))
+
+
+def band_keys(lines: list[str]) -> np.ndarray:
+    """BANDS keys for each line, as many rows as lines."""
+    h, at = shingle_hashes(lines)
+    h = (h >> np.uint64(32)).astype(np.uint32)
+    x = np.empty_like(h)
+    keys = np.empty((len(lines), BANDS), np.uint64)
     for b in range(BANDS):
-        key = np.full(len(lens), b + 1, np.uint64)
+        key = np.full(len(lines), b + 1, np.uint64)
         for r in range(b * ROWS, (b + 1) * ROWS):
-            x = (h ^ _XOR[r]) * _ODD[r]
-            x ^= x >> np.uint32(15)
-            x *= np.uint32(0x2C1B3C6D)
-            key = C.mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(x, starts))
+            np.multiply(h, _ODD[r], out=x)
+            x += _ADD[r]
+            key = C.mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(x, at[:-1]))
         keys[:, b] = key
     return keys
 
 
 def signatures(buckets: int):
-    """Different lines of a partition to payloads (key, name), by bucket of the key."""
+    """Different lines of a partition to payloads (half a key, name), by bucket of the key.
+
+    Two keys of a bucket that agree in that half are one group; comparing more lines does no harm.
+    """
 
     def run(batches):
         seen: set[int] = set()
         todo: list[str] = []
         names: list[int] = []
         keys: list[np.ndarray] = []
-        size = held = 0
+        size = 0
 
         def sign():
+            nonlocal todo, size
             if todo:
                 keys.append(band_keys(todo))
+            todo, size = [], 0
 
         def flush():
             k = np.concatenate(keys).ravel()
             n = np.repeat(np.array(names, np.int64), BANDS)
-            out = [(b, packed(own, name)) for b, (own, name) in by_bucket((k % np.uint64(buckets)).astype(np.int64), k, n)]
+            half = (k >> np.uint64(32)).astype(np.uint32)
+            k %= np.uint64(1 << 32)
+            k %= np.uint64(buckets)
+            out = [(b, packed(own, name)) for b, (own, name) in by_bucket(k.astype(np.int32), half, n)]
             for i in range(0, len(out), 64):
                 yield rows_of(0, *zip(*out[i : i + 64], strict=True))
 
@@ -113,14 +127,12 @@ def signatures(buckets: int):
                         names.append(name)
                         todo.append(line)
                         size += len(line)
-                        held += 1
-                if size > 1 << 16:
-                    sign()
-                    todo, size = [], 0
-                if held > 400_000:
+                        if size > 1 << 15:
+                            sign()
+                if len(names) > FLUSH:
                     sign()
                     yield from flush()
-                    todo, size, held, names, keys = [], 0, 0, [], []
+                    names, keys = [], []
                     seen.clear()
         sign()
         if names:
@@ -129,198 +141,208 @@ def signatures(buckets: int):
     return run
 
 
+def by_slice(batches, *kinds: str):
+    """Payloads sorted by bucket: the arrays of one bucket at a time."""
+    bucket, held = None, []
+    for b in batches:
+        for k, raw in zip(b.column("bucket").to_pylist(), b.column("payload"), strict=True):
+            if k != bucket and held:
+                yield [np.concatenate(x) for x in zip(*held, strict=True)]
+                held = []
+            bucket = k
+            held.append(unpacked(raw.as_buffer().to_pybytes(), *kinds))
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
 def candidates(batches):
-    """Payloads of a bucket to rows (key, a, b): in each band the most widespread line a with each other line b.
+    """Payloads of buckets to rows (group, name, seen, size): the lines of each band of more than one, named by a sum over them.
 
-    Most widespread is the one that most partitions have sent: of a family of edited copies that is the original, to
-    which the others are close. Bands of two lines have key 0, as they are done with one comparison.
+    seen: how many partitions have sent the line. Of a family of edited copies the most widespread one is the original, to
+    which the others are close.
     """
-    parts = [unpacked(raw, "u8", "i8") for b in batches for raw in b.column("payload").to_pylist()]
-    if not parts:
-        return
-    key, name = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((name, key))
-    key, name = key[order], name[order]
-    first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (name[1:] != name[:-1])))
-    sent = np.diff(np.append(first, len(key)))
-    key, name = key[first], name[first]
-    order = np.lexsort((name, -sent, key))
-    key, name = key[order], name[order]
-    start = np.append(True, key[1:] != key[:-1])
-    size = np.diff(np.append(np.flatnonzero(start), len(key)))
-    pivot = np.repeat(name[start], size)
-    wide = np.repeat(size, size) > 2
-    at = np.flatnonzero(~start)
-    for i in range(0, len(at), 100_000):
-        own = at[i : i + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(np.where(wide[own], key[own].view(np.int64), 0)), pa.array(pivot[own]), pa.array(name[own])], ["key", "a", "b"])
-
-
-def similar(batches):
-    """Pairs with their texts to the same pairs and whether they are similar."""
-    last: tuple = (None, set())
-    for b in batches:
-        found = []
-        for a, x, y in zip(b.column("a").to_pylist(), b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
-            if last[0] != a:
-                last = (a, shingles(x))
-            p = last[1]
-            # A line has at most as many shingles as places; that bounds the similarity from above.
-            if len(p) * SIMILARITY > max(1, len(y) - SHINGLE + 1):
-                found.append(False)
-                continue
-            q = shingles(y)
-            both = len(p & q)
-            found.append(both >= SIMILARITY * (len(p) + len(q) - both))
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(found, pa.bool_())], ["u", "v", "similar"])
-
-
-def shingle_cells(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Line and cell of each different shingle of each line."""
-    lens = np.array([len(x) for x in lines])
-    count = np.maximum(lens - SHINGLE + 1, 1)
-    codes = np.frombuffer("".join(x.ljust(SHINGLE, "\0") for x in lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    filled = np.maximum(lens, SHINGLE)
-    begin = np.repeat(np.cumsum(filled) - filled, count) + (np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count))
-    h = rolling(codes, SHINGLE)[begin] >> np.uint64(64 - CELL_BITS)
-    both = np.unique(np.repeat(np.arange(len(lines)), count).astype(np.uint64) << np.uint64(CELL_BITS) | h)
-    return (both >> np.uint64(CELL_BITS)).astype(np.int64), (both & np.uint64((1 << CELL_BITS) - 1)).astype(np.int64)
-
-
-def count_cells(batches):
-    """Lines to payloads of a partition's cells: those met once, and those met more often, by slice of the cells."""
-    parts = []
-    for b in batches:
-        lines = b.column("line").to_pylist()
-        for i in range(0, len(lines), 500):
-            parts.append(np.stack(np.unique(shingle_cells(lines[i : i + 500])[1], return_counts=True)))
-    if not parts:
-        return
-    both = np.concatenate(parts, axis=1)
-    cell, back = np.unique(both[0], return_inverse=True)
-    seen = np.bincount(back, both[1])
-    for b, (c, n) in by_bucket(cell >> SLICE_BITS, cell, seen):
-        yield rows_of(0, [b], [packed(c[n == 1].astype(np.int32), c[n > 1].astype(np.int32))])
+    for key, name in by_slice(batches, "u4", "i8"):
+        order = np.lexsort((name, key))
+        key, name = key[order], name[order]
+        first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (name[1:] != name[:-1])))
+        sent = np.diff(np.append(first, len(key)))
+        key, name = key[first], name[first]
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(start, len(key)))
+        group = np.repeat(np.add.reduceat(C.mix(name.view(np.uint64)), start), size).view(np.int64)
+        size = np.repeat(size, size)
+        at = np.flatnonzero(size > 1)
+        for i in range(0, len(at), 100_000):
+            own = at[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(group[own]), pa.array(name[own]), pa.array(sent[own].astype(np.int32)), pa.array(size[own])], ["group", "name", "seen", "size"])
+
+
+def decoded_hashes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return shingle_hashes([x.decode("utf-8", "surrogatepass") for x in lines])
 
 
-def shared_cells(batches):
-    """Payloads of whole slices to one row for each slice: a bit for each cell that more than one line has."""
-    slices: dict[int, list] = {}
-    for b in batches:
-        for k, raw in zip(b.column("bucket").to_pylist(), b.column("payload").to_pylist(), strict=True):
-            slices.setdefault(k, []).append(unpacked(raw, "i4", "i4"))
-    for k, parts in slices.items():
-        n = np.zeros(1 << SLICE_BITS, np.int32)
-        for once, more in parts:
-            n[once & (1 << SLICE_BITS) - 1] += 1
-            n[more & (1 << SLICE_BITS) - 1] += 2
-        yield rows_of(0, [k], [np.packbits(n > 1).tobytes()])
+def link_lines(src: DataFrame, scratch: C.Scratch) -> DataFrame:
+    """(u, v): v is the least name of the class of line u, for lines of src (doc_id, text, rk) that are not the least themselves."""
+    spark = scratch.spark
+    n = C.partitions(spark)
+    dealt = C.mapped(src.select("text"), signatures(SLICES * n), PACKED).repartition(n, "bucket").sortWithinPartitions("bucket")
+    every = C.mapped(dealt, candidates, "group long, name long, seen int, size long")
+    # The same lines share several bands; groups of equal lines are one.
+    members = scratch.store(every.groupBy("group", "name").agg(F.max("seen").alias("seen"), F.max("size").alias("size")), "members")
+    asked = members.select("name").distinct()
+    known = Asked(asked)
 
+    def asked_lines(batches):
+        sent: set[int] = set()
+        for b in batches:
+            own = [x for text in b.column("text").to_pylist() for x in lines_of(text) if x]
+            names = np.array([name_of(x) for x in own], np.int64)
+            some = np.flatnonzero(known.has(names))
+            found = {n: own[i] for n, i in zip(names[some].tolist(), some.tolist(), strict=True) if n not in sent}
+            sent = sent | found.keys() if len(sent) < FLUSH else set(found)
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.string())], ["name", "text"])
+
+    texts = C.mapped(src.select("text"), asked_lines, "name long, text string").join(asked, "name", "left_semi").dropDuplicates(["name"])
+    texts = scratch.store(texts, "texts")
+    links = scratch.store(similar_links(members, texts, decoded_hashes, SIMILARITY, n), "links")
+    scratch.drop(texts)
+    scratch.drop(members)
+    return C.components(links, scratch)
 
-def linkable(src: DataFrame, n: int) -> DataFrame:
-    """Those names of (name, line) that can have a similar line among the others at all.
 
-    A line of which more than 1 - SIMILARITY of the shingles stand in no other line is similar to none. Cells may be
-    shared by chance, never the other way round, so no line with a similar one is left out.
-    """
-    dealt = C.mapped(src.select("line"), count_cells, PACKED).repartition(n, "bucket")
-    found = C.mapped(dealt, shared_cells, PACKED).collect()  # 2^CELL_BITS bits, however many lines there are
-    bits = np.zeros((1 << CELL_BITS) // 8, np.uint8)
-    for r in found:
-        at = r.bucket << (SLICE_BITS - 3)
-        bits[at : at + (1 << (SLICE_BITS - 3))] = np.frombuffer(bytes(r.payload), np.uint8)
-    held = src.sparkSession.sparkContext.broadcast(bits)
+def others(group: np.ndarray, ids: np.ndarray, keys: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of places in groups: the first place of each group, and all that are at other places. Equal places are one."""
+    order = np.lexsort((line, keys, ids, group))
+    g = group[order]
+    new = np.append(True, g[1:] != g[:-1])[: len(g)]
+    first = order[np.flatnonzero(new)]
+    mine = first[np.cumsum(new) - 1] if len(g) else first
+    return first, order[(ids[order] != ids[mine]) | (keys[order] != keys[mine]) | (line[order] != line[mine])]
+
+
+def send(kind: int, by: np.ndarray, buckets: int, *columns: np.ndarray):
+    out = [(b, packed(*own)) for b, own in by_bucket((by.view(np.uint64) % np.uint64(buckets)).astype(np.int64), *columns)]
+    for i in range(0, len(out), 64):
+        yield rows_of(kind, *zip(*out[i : i + 64], strict=True))
+
+
+#: Kinds of payloads: first places of lines (name, document, line), classes of lines (name, class), first places of classes, lines that go.
+PLACE, CLASS, ROOT, GONE = range(4)
+
+
+def place_lines(n: int):
+    """Documents to the first place of each line of a partition, by bucket of its name, and to places of lines that go."""
 
     def run(batches):
-        table = held.value
+        held: list[list] = [[], [], []]
+        docs: list[list] = [[], []]
+
+        def flush():
+            name, doc, line = (np.array(x, np.int64) for x in held)
+            ids, keys = (np.array(x, np.int64)[doc] for x in docs)
+            first, gone = others(name, ids, keys, line)
+            yield from send(PLACE, name[first], n, name[first], ids[first], keys[first], line[first])
+            yield from send(GONE, keys[gone], n, ids[gone], keys[gone], line[gone])
+
         for b in batches:
-            lines, names = b.column("line").to_pylist(), b.column("name").to_numpy(zero_copy_only=False)
-            for i in range(0, len(lines), 500):
-                part = lines[i : i + 500]
-                line, cell = shingle_cells(part)
-                shared = (table[cell >> 3] >> (7 - (cell & 7)) & 1).astype(np.int64)
-                # Two shingles of a line may fall into one cell, which makes both counts smaller: sizes are those of the sets.
-                size = np.array([len(shingles(x)) for x in part])
-                alone = np.bincount(line, 1 - shared, len(part))
-                good = (size - alone) >= SIMILARITY * size - 1e-9
-                yield pa.RecordBatch.from_arrays([pa.array(names[i : i + 500][good])], ["name"])
-
-    return C.mapped(src.select("name", "line"), run, "name long")
-
-
-def name_lines(batches):
-    """All lines but blank ones: name, document and line number."""
-    for b in batches:
-        ids, keys = b.column("doc_id").to_pylist(), b.column("rk").to_pylist()
-        out: list[list] = [[], [], [], []]
-        for doc_id, key, text in zip(ids, keys, b.column("text").to_pylist(), strict=True):
-            for i, line in enumerate(lines_of(text)):
-                if line:
-                    for to, x in zip(out, (name_of(line), doc_id, key, i), strict=True):
-                        to.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["name", "doc_id", "rk", "line"])
+            for doc_id, key, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "rk", "text")), strict=True):
+                for i, line in enumerate(lines_of(text)):
+                    if line:
+                        held[0].append(name_of(line))
+                        held[1].append(len(docs[0]))
+                        held[2].append(i)
+                docs[0].append(doc_id)
+                docs[1].append(key)
+                if len(held[0]) > FLUSH:
+                    yield from flush()
+                    held, docs = [[], [], []], [[], []]
+        if held[0]:
+            yield from flush()
 
+    return run
 
-def link_lines(src: DataFrame, scratch: C.Scratch) -> DataFrame:
-    """(u, v): v is the least name of the class of line u, for lines of src (doc_id, text, rk) that are not the least themselves."""
-    spark = scratch.spark
-    n = C.partitions(spark)
-    dealt = C.mapped(src.select("text"), signatures(n), PACKED).repartition(n, "bucket")
-    pairs = scratch.store(C.mapped(dealt.select("payload"), candidates, "key long, a long, b long"), "pairs")
-    scratch.release()
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-    # One bit for each of 2^24 values: of fixed size; when it fills up, more lines are looked at, and none is missed.
-    at = F.shiftrightunsigned("name", 64 - BLOOM_BITS)
-    words = asked.groupBy(F.shiftright(at, 6).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(name, {64 - BLOOM_BITS}) & 63 as int))")).alias("bits")).toArrow()
-    bloom = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
-    bloom[words.column("word").to_numpy()] = words.column("bits").to_numpy()
 
-    def asked_lines(batches):
-        has = np.unpackbits(bloom.view(np.uint8), bitorder="little")
+def send_classes(n: int):
+    """(u, v) to payloads: the class of each line of one, those named by themselves included."""
+
+    def run(batches):
         for b in batches:
-            found: dict[int, str] = {}
-            for text in b.column("text").to_pylist():
-                for line in lines_of(text):
-                    if line and has[((name := name_of(line)) & (1 << 64) - 1) >> (64 - BLOOM_BITS)]:
-                        found[name] = line
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.string())], ["name", "line"])
+            u, v = (b.column(c).to_numpy(zero_copy_only=False) for c in ("u", "v"))
+            root = np.unique(v)
+            yield from send(CLASS, np.append(u, root), n, np.append(u, root), np.append(v, root))
 
-    texts = C.mapped(src.select("text"), asked_lines, "name long, line string").join(asked, "name", "left_semi").dropDuplicates(["name"])
-    texts = scratch.store(texts, "texts")
+    return run
+
+
+def first_of_names(n: int):
+    """Payloads of a bucket of names to the first place of each class, by bucket of the class, and to places of lines that go."""
+
+    def run(batches):
+        held: dict[int, list] = {PLACE: [], CLASS: []}
+        for b in batches:
+            for kind, raw in zip(b.column("kind").to_pylist(), b.column("payload"), strict=True):
+                held[kind].append(unpacked(raw.as_buffer().to_pybytes(), *["i8"] * (4 if kind == PLACE else 2)))
+        if not held[PLACE]:
+            return
+        name, ids, keys, line = (np.concatenate(x) for x in zip(*held[PLACE], strict=True))
+        group, linked = name.copy(), np.zeros(len(name), bool)
+        if held[CLASS]:
+            u, v = (np.concatenate(x) for x in zip(*held[CLASS], strict=True))
+            u, at = np.unique(u, return_index=True)
+            v = v[at]
+            at = np.minimum(np.searchsorted(u, name), len(u) - 1)
+            linked = u[at] == name
+            group[linked] = v[at[linked]]
+        first, gone = others(group, ids, keys, line)
+        first = first[linked[first]]
+        yield from send(ROOT, group[first], n, group[first], ids[first], keys[first], line[first])
+        yield from send(GONE, keys[gone], n, ids[gone], keys[gone], line[gone])
+
+    return run
 
-    def verified(p: DataFrame) -> DataFrame:
-        x = texts.select(F.col("name").alias("a"), F.col("line").alias("x"))
-        y = texts.select(F.col("name").alias("b"), F.col("line").alias("y"))
-        return C.mapped(p.select("a", "b").distinct().join(y, "b").join(x, "a"), similar, "u long, v long, similar boolean")
-
-    first = scratch.store(verified(pairs), "verified")
-    low = C.components(first.where("similar").select("u", "v"), scratch)
-    # A link inside a class changes nothing, so only lines of different classes that share a band are compared further.
-    wide = pairs.where("key <> 0")
-    members = wide.select("key", F.col("b").alias("name")).unionByName(wide.select("key", F.col("a").alias("name")).distinct())
-    members = scratch.store(members.join(low, members.name == low.u, "left").select("key", "name", F.coalesce("v", "name").alias("class")), "members")
-    mixed = members.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.mode("class").alias("main")).where("low <> high").select("key", "main")
-    some = scratch.store(members.join(mixed, "key"), "mixed")
-    open_ = scratch.store(linkable(texts.join(some.select("name").distinct(), "name", "left_semi"), n), "linkable")
-    some = some.join(open_, "name", "left_semi").select("key", "main", "name", "class")
-    x, y = (some.select("key", "main", F.col("name").alias(f"n{k}"), F.col("class").alias(f"c{k}")) for k in (1, 2))
-    more = x.where("c1 <> main").join(y.drop("main"), "key").where("c1 <> c2").select(F.least("n1", "n2").alias("a"), F.greatest("n1", "n2").alias("b")).distinct()
-    done = first.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
-    second = scratch.store(verified(more.join(done, ["a", "b"], "left_anti")).where("similar").select("u", "v"), "verified")
-    if not second.limit(1).count():
-        return low
-    return C.components(low.unionByName(second), scratch)
+
+def first_of_classes(n: int):
+    def run(batches):
+        held = [unpacked(raw.as_buffer().to_pybytes(), *["i8"] * 4) for b in batches for raw in b.column("payload")]
+        if held:
+            group, ids, keys, line = (np.concatenate(x) for x in zip(*held, strict=True))
+            _, gone = others(group, ids, keys, line)
+            yield from send(GONE, keys[gone], n, ids[gone], keys[gone], line[gone])
+
+    return run
+
+
+def by_document(batches):
+    """Payloads of places to one row (doc_id, rk, gone) for each document."""
+    held = [unpacked(raw.as_buffer().to_pybytes(), "i8", "i8", "i8") for b in batches for raw in b.column("payload")]
+    if not held:
+        return
+    ids, keys, line = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.lexsort((line, ids, keys))
+    ids, keys, line = ids[order], keys[order], line[order]
+    start = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])))
+    for i in range(0, len(start), 20_000):
+        own = start[i : i + 20_000]
+        ends = np.append(start, len(ids))[i : i + 20_000 + 1]
+        gone = pa.ListArray.from_arrays(pa.array((ends - ends[0])[: len(own) + 1].astype(np.int32)), pa.array(line[ends[0] : ends[len(own)]].astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(keys[own]), gone], ["doc_id", "rk", "gone"])
 
 
 def surplus_lines(src: DataFrame, scratch: C.Scratch) -> DataFrame:
     """(doc_id, rk, gone): numbers of the lines that a document loses. src: doc_id, text, rk."""
+    n = C.partitions(scratch.spark)
     low = link_lines(src, scratch)
-    every = scratch.store(C.mapped(src, name_lines, "name long, doc_id long, rk long, line long"), "lines")
-    place = F.struct("doc_id", "rk", "line")
-    classed = every.join(low, every.name == low.u, "left").select(F.coalesce("v", "name").alias("class"), place.alias("place"))
-    first = classed.groupBy("class").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").select("class", "first")
-    gone = classed.join(first, "class").where("place <> first").select("place.*").distinct()
-    return gone.groupBy("doc_id", "rk").agg(F.collect_list("line").alias("gone"))
+    placed = scratch.store(C.mapped(src, place_lines(n), PACKED), "places")
+    names = placed.where(F.col("kind") == PLACE).unionByName(C.mapped(low, send_classes(n), PACKED))
+    named = scratch.store(C.mapped(names.repartition(n, "bucket"), first_of_names(n), PACKED), "firsts")
+    roots = named.where(F.col("kind") == ROOT).repartition(n, "bucket")
+    gone = C.mapped(roots, first_of_classes(n), PACKED)
+    for t in (placed, named):
+        gone = gone.unionByName(t.where(F.col("kind") == GONE))
+    out = scratch.store(C.mapped(gone.repartition(n, "bucket"), by_document, "doc_id long, rk long, gone array<int>"), "gone")
+    for t in (placed, named, low):
+        scratch.drop(t)
+    return out
 
 
 def keyed(docs: DataFrame, *more: str) -> DataFrame:
@@ -352,8 +374,7 @@ def without_lines(src: DataFrame, gone: DataFrame, keep: tuple[str, ...]) -> Dat
 def dedup_lines(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_text and further columns of docs, for each row."""
     scratch = C.Scratch(docs.sparkSession, "lines")
-    gone = scratch.store(surplus_lines(keyed(docs), scratch), "gone")
-    scratch.release()
+    gone = surplus_lines(keyed(docs), scratch)
     out = without_lines(keyed(docs, *keep), gone, keep)
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(C.NULL_ID)))
 
@@ -383,7 +404,3 @@ def keep_first_lines(texts: list[tuple[int, str]]) -> dict[int, list[str]]:
             gone.add((d, i))
         seen.add(label[x])
     return {d: [x for i, x in enumerate(t.split("\n")) if (d, i) not in gone] for d, t in texts}
-
-
-def digest(lines: list[str]) -> str:
-    return hashlib.sha256("\n".join(lines).encode()).hexdigest()
