@@ -1,9 +1,9 @@
 """Texts to token ids with the tokenizers library, word by word.
 
 A byte-level BPE cuts a text into stretches by a pattern before it merges anything, and always cuts before a single space
-that a non-space follows. So a text can be taken apart at its spaces, and the ids of a word are looked up or, when new,
-come from the library's BPE model. Texts for which that doesn't hold (a space with white space of any kind behind it,
-special tokens) go to the library whole.
+that a non-space follows. So a text can be taken apart there, and the ids of a word are looked up or, when new, come
+from the library's BPE model, stretch by stretch. Added tokens are cut out first, as the library does. The library is never
+given a long text whole, which would take it a hundred bytes and more for each byte.
 """
 
 from __future__ import annotations
@@ -16,11 +16,11 @@ import regex
 from tokenizers import Tokenizer
 
 DEFAULT = public_tokenizers.path("byte_bpe_50k.json")
-#: Words that are remembered in a Python worker; about 200 bytes each. Later words are encoded each time.
-REMEMBERED = 200_000
+#: Words of up to WORD characters that are remembered in a Python worker; about 200 bytes each. Others are encoded each time.
+REMEMBERED, WORD = 200_000, 64
 END_MARKS = frozenset(".,;:!?")
-#: A space that does not begin a stretch: white space is behind it.
-LOOSE = regex.compile(r" \s")
+#: A space that does not begin a stretch, as white space is behind it, and one that does.
+LOOSE, FIRM = regex.compile(r" \s"), regex.compile(r" (?=\S)")
 
 
 def byte_letters() -> dict[int, str]:
@@ -40,7 +40,12 @@ class Encoder:
         self.space = self.letters[32]
         self.cut = regex.compile(public_tokenizers.PATTERN)
         self.words: dict[str, bytes] = {}
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.marks: dict[str, bytes] = {}
+        added = self.whole.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError("added tokens that take their surroundings are not provided for")
+        self.added = {t.content: pack("<I", i) for i, t in added.items()}
+        self.cut_added = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if added else None
 
     def stretch(self, text: str) -> bytes:
         """Ids of what the pattern does not cut."""
@@ -58,22 +63,29 @@ class Encoder:
             out = (self.word(word[:-1]) if known is None else known) + self.plain(word[-1])
         else:
             out = b"".join(map(self.stretch, self.cut.findall(" " + word)))
-        if len(self.words) < REMEMBERED:
+        if len(word) <= WORD and len(self.words) < REMEMBERED:
             self.words[word] = out
         return out
 
     def plain(self, mark: str) -> bytes:
-        name = "\0" + mark
-        if name not in self.words:
-            self.words[name] = self.stretch(mark)
-        return self.words[name]
+        if mark not in self.marks:
+            self.marks[mark] = self.stretch(mark)
+        return self.marks[mark]
 
     def encode(self, text: str) -> bytes:
+        if self.added and any(t in text for t in self.added):
+            out, at = [], 0
+            for m in self.cut_added.finditer(text):
+                out += [self.between(text[at : m.start()]), self.added[m.group()]]
+                at = m.end()
+            return b"".join([*out, self.between(text[at:])])
+        return self.between(text)
+
+    def between(self, text: str) -> bytes:
+        """Ids of a text without added tokens."""
         if not text:
             return b""
-        if LOOSE.search(text) or "\0" in text or any(s in text for s in self.special):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        first, *rest = text.split(" ")
+        first, *rest = FIRM.split(text) if LOOSE.search(text) else text.split(" ")
         ids = list(map(self.words.get, rest))
         if None in ids:
             ids = [self.word(w) if x is None else x for w, x in zip(rest, ids, strict=True)]
