@@ -2,7 +2,8 @@
 
 1. Each window of W units picks an anchor: of the k-unit strings in it, the one with the smallest hash. Equal windows
    pick equal anchors, so windows whose anchor occurs once can't repeat. Partitions look for repeated anchors in
-   themselves and send on one entry for an anchor that is repeated there; only anchors met once carry a position.
+   themselves and send on one entry for an anchor that is repeated there. Of anchors met once they send the hash with its
+   place or, with a count-min sketch, the cells that it adds one to, with its document. Buckets add up.
 2. For a repeated anchor the text over all its windows (a stretch, of less than 2 W units) is sent to the anchor's
    bucket; a partition sends each different stretch once, with its first place. A bucket compares windows exactly.
 3. Windows of repeated anchors count as repeats unless their bucket sends word that they are the first of their kind.
@@ -148,9 +149,22 @@ def texts_of(batches: Iterator[pa.RecordBatch], most: int = 1 << 18):
             yield ids[i:j], keys[i:j], data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
 
 
-def anchor_pass(units: Units, k: int, window: int, buckets: int):
-    """Documents to payloads: (kind 0) anchors met once, with document and place; (1) anchors met more than once here, with
-    their count; (2) places of anchors that are known to be repeated, already by bucket of their document."""
+def planes(x: np.ndarray) -> bytes:
+    """Unsigned 32-bit integers by place of their bytes: zeros of small numbers stand together and take no room when sent."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def from_planes(raw: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
+
+
+#: Stands for the id of the document that a key belongs to, where the key alone will do.
+ANY_ID = C.NULL_ID + 1
+
+
+def anchor_pass(units: Units, k: int, window: int, buckets: int, sketch: CountMin | None = None):
+    """Documents to payloads: (kind 0) anchors met once, with document and place or as a sketch; (1) anchors met more than
+    once here, with their count; (2) marks of anchors that are known to be repeated, already by bucket of their document."""
 
     def run(batches):
         held: list[tuple] = []
@@ -165,20 +179,26 @@ def anchor_pass(units: Units, k: int, window: int, buckets: int):
             count = np.diff(np.append(first, len(s)))
             single = order[first[count == 1]]
             again = order[np.repeat(count, count) > 1]
-            yield from send(0, ids, keys, doc, start, h, single)
-            out = [(b, packed(c, n)) for b, (c, n) in by_bucket((s[first[count > 1]] % np.uint64(buckets)).astype(np.int64), s[first[count > 1]], count[count > 1].astype(np.int64))]
-            if out:
-                yield rows_of(1, *zip(*out, strict=True))
-            yield from found(ids[doc[again]], keys[doc[again]], start[again], buckets)
-
-        def send(kind, ids, keys, doc, start, h, pick):
             out = []
-            for b, (p,) in by_bucket((h[pick] % np.uint64(buckets)).astype(np.int64), pick):
+            for b, (p,) in by_bucket((h[single] % np.uint64(buckets)).astype(np.int64), single):
                 p = np.sort(p)
                 d, back = np.unique(doc[p], return_inverse=True)
-                out.append((b, packed(h[p], ids[d], keys[d], back.astype(np.uint32), start[p].astype(np.int64))))
+                if sketch:
+                    cell, other = sketch.cells(0, h[p]), sketch.cells(1, h[p])
+                    at = np.argsort(cell, kind="stable")
+                    out.append((b, packed(planes(np.diff(cell[at], prepend=0)), planes(other[at]), planes(back[at]), keys[d])))
+                else:
+                    out.append((b, packed(h[p], ids[d], keys[d], back.astype(np.uint32), start[p].astype(np.int64))))
             for i in range(0, len(out), 64):
-                yield rows_of(kind, *zip(*out[i : i + 64], strict=True))
+                yield rows_of(0, *zip(*out[i : i + 64], strict=True))
+            out = [(b, packed(c, n)) for b, (c, n) in by_bucket((s[first[count > 1]] % np.uint64(buckets)).astype(np.int64), s[first[count > 1]], count[count > 1].astype(np.int64))]
+            if out:
+                yield rows_of(1, *zip(*out, strict=True))
+            own = keys[doc[again]]
+            if sketch:
+                yield from found(np.full(len(own), ANY_ID), own, sketch.place(h[again], buckets), buckets)
+            else:
+                yield from found(ids[doc[again]], own, start[again], buckets)
 
         base = 0
         for ids, keys, data, offs in texts_of(batches):
@@ -213,22 +233,34 @@ def exact_counts(hashes: np.ndarray, counts: np.ndarray, ask: np.ndarray) -> np.
 
 
 class CountMin:
-    """Counts in `depth` rows of cells that stop at 255: never too small. Partition sketches add up cell by cell."""
+    """Counts in two rows of cells for each bucket of hashes, which stop at 255: never too small.
 
-    def __init__(self, depth: int, bits: int):
-        self.depth, self.bits = depth, bits
+    A partition's sketch is sent by bucket as the cells that are not zero; buckets add up what partitions send.
+    """
 
-    def cells(self, row: int, hashes: np.ndarray) -> np.ndarray:
-        return (C.mix(hashes + np.uint64(row * 0x632BE59BD9B4E019 & (2**64 - 1))) >> np.uint64(64 - self.bits)).astype(np.int64)
+    depth = 2
+
+    def __init__(self, bits: int):
+        self.bits = bits
+
+    def place(self, hashes: np.ndarray, buckets: int) -> np.ndarray:
+        """The cell of the first row, numbered through all buckets."""
+        return (hashes % np.uint64(buckets)).astype(np.int64) << self.bits | self.cells(0, hashes)
 
-    def sketch(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return np.stack([np.minimum(np.bincount(self.cells(r, hashes), counts, 1 << self.bits), 255).astype(np.uint8) for r in range(self.depth)])
+    def empty(self) -> np.ndarray:
+        return np.zeros((self.depth, 1 << self.bits), np.uint8)
 
-    def merge(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.minimum(a.astype(np.uint16) + b, 255).astype(np.uint8)
+    def add(self, sketch: np.ndarray, rows: tuple[np.ndarray, ...], counts: np.ndarray | int = 1) -> None:
+        for own, cells in zip(sketch, rows, strict=True):
+            at, back = np.unique(cells, return_inverse=True)
+            more = np.bincount(back, np.broadcast_to(counts, len(cells)), len(at))
+            own[at] = np.minimum(own[at] + more, 255).astype(np.uint8)
 
-    def estimate(self, merged: np.ndarray, ask: np.ndarray) -> np.ndarray:
-        return np.min([merged[r][self.cells(r, ask)] for r in range(self.depth)], axis=0) if len(ask) else np.zeros(0)
+    def estimate(self, sketch: np.ndarray, rows: tuple[np.ndarray, ...]) -> np.ndarray:
+        return np.min([own[cells] for own, cells in zip(sketch, rows, strict=True)], axis=0)
+
+    def cells(self, row: int, hashes: np.ndarray) -> np.ndarray:
+        return (C.mix(hashes + np.uint64(row * 0x632BE59BD9B4E019 & (2**64 - 1))) >> np.uint64(64 - self.bits)).astype(np.int64)
 
 
 #: An anchor is hot if it stands for this share of its bucket and at least so often; so a bucket has at most HOT_SHARE of them.
@@ -236,7 +268,7 @@ HOT_SHARE, HOT_LEAST = 32, 256
 
 
 def count_pass(buckets: int, sketch: CountMin | None, hot_share: int, hot_least: int):
-    """Payloads of anchor_pass, dealt by bucket, to places of repeated anchors by bucket of their document, and (kind 5) hot anchors."""
+    """Payloads of anchor_pass, dealt by bucket, to marks of repeated anchors by bucket of their document, and (kind 5) hot anchors."""
 
     def run(batches):
         singles: list = []
@@ -244,24 +276,31 @@ def count_pass(buckets: int, sketch: CountMin | None, hot_share: int, hot_least:
         counts: list = []
         again: list = []
         met = 0
-        merged = None
+        merged: dict[int, np.ndarray] = {}
         for b in batches:
-            for kind, raw in zip(b.column("kind").to_pylist(), b.column("payload").to_pylist(), strict=True):
+            for bucket, kind, raw in zip(b.column("bucket").to_pylist(), b.column("kind").to_pylist(), b.column("payload").to_pylist(), strict=True):
                 if kind == 2:
                     yield rows_of(2, [int(unpacked(raw, "i8", "i8", "i8")[1][0]) % buckets], [raw])
                     continue
-                if kind == 0:
+                if sketch and bucket not in merged:
+                    merged[bucket] = sketch.empty()
+                if kind == 1:
+                    h, n = unpacked(raw, "u8", "i8")
+                    again.append((h, n))
+                    if sketch:
+                        sketch.add(merged[bucket], tuple(sketch.cells(r, h) for r in range(sketch.depth)), n)
+                elif sketch:
+                    cell, other, back, keys = unpacked(raw, "u1", "u1", "u1", "i8")
+                    rows = np.cumsum(from_planes(cell), dtype=np.int64), from_planes(other)
+                    sketch.add(merged[bucket], rows)
+                    singles.append((bucket, rows, from_planes(back), keys))
+                    n = np.ones(len(rows[0]), np.int64)
+                else:
                     x = unpacked(raw, "u8", "i8", "i8", "u4", "i8")
                     h, n = x[0], np.ones(len(x[0]), np.int64)
                     singles.append((h, x[1][x[3]], x[2][x[3]], x[4]))
-                else:
-                    h, n = unpacked(raw, "u8", "i8")
-                    again.append((h, n))
                 met += int(n.sum())
-                if sketch:
-                    own = sketch.sketch(h, n)
-                    merged = own if merged is None else sketch.merge(merged, own)
-                else:
+                if not sketch:
                     hashes.append(h)
                     counts.append(n)
         if again:
@@ -272,9 +311,17 @@ def count_pass(buckets: int, sketch: CountMin | None, hot_share: int, hot_least:
                 yield rows_of(5, [0], [packed(hot)])
         if not singles:
             return
+        if sketch:
+            keys, mark = [], []
+            for bucket, rows, back, own in singles:
+                more = np.flatnonzero(sketch.estimate(merged[bucket], rows) > 1)
+                keys.append(own[back[more]])
+                mark.append(bucket << sketch.bits | rows[0][more])
+            keys, mark = np.concatenate(keys), np.concatenate(mark)
+            yield from found(np.full(len(keys), ANY_ID), keys, mark, buckets)
+            return
         h, ids, keys, start = (np.concatenate([x[i] for x in singles]) for i in range(4))
-        total = sketch.estimate(merged, h) if sketch else exact_counts(np.concatenate(hashes), np.concatenate(counts), h)
-        more = np.flatnonzero(total > 1)
+        more = np.flatnonzero(exact_counts(np.concatenate(hashes), np.concatenate(counts), h) > 1)
         yield from found(ids[more], keys[more], start[more], buckets)
 
     return run
@@ -293,7 +340,8 @@ class Lookup:
         i, j = np.searchsorted(self.columns[1], [key, key + 1] if key < 2**63 - 1 else [key, key], side="left")
         if key == 2**63 - 1:
             j = len(self.columns[1])
-        same = self.columns[0][i:j] == doc_id
+        own = self.columns[0][i:j]
+        same = (own == doc_id) | (own == ANY_ID)
         return [c[i:j][same] for c in self.columns[2:]]
 
 
@@ -328,15 +376,18 @@ def gathered(batches, kinds: dict[int, tuple[str, ...]], most: int = 1 << 18):
         yield held
 
 
-def picked_runs(units: Units, rows: list, k: int, window: int):
-    """Bytes, offsets and unit arrays of the documents in rows, and the runs of windows with repeated anchors."""
+def picked_runs(units: Units, rows: list, k: int, window: int, buckets: int, sketch: CountMin | None):
+    """Bytes, offsets and unit arrays of the documents in rows, and the runs of windows with repeated anchors.
+
+    Marks of repeated anchors are the first windows of their runs or cells of the sketch.
+    """
     places = [np.unique(r[3][2][0]) for r in rows]
     data = np.frombuffer(b"".join(r[2] for r in rows), np.uint8)
     offs = np.cumsum([0, *(r[2].size for r in rows)])
     u, cuts, spans = units.read(data, offs)
     doc, start, n, h, anchor = runs(u, cuts, k, window)
     wanted = np.concatenate([(np.int64(i) << 40) | p for i, p in enumerate(places)])
-    pick = np.flatnonzero(np.isin((doc << 40) | start, wanted))
+    pick = np.flatnonzero(np.isin((doc << 40) | (sketch.place(h, buckets) if sketch else start), wanted))
     return data, offs, cuts, spans, doc[pick], start[pick], n[pick], h[pick], anchor[pick]
 
 
@@ -356,7 +407,7 @@ def pieces_of(start: int, n: int, anchor: int, share: int) -> list[tuple[int, in
     return out
 
 
-def stretch_pass(units: Units, k: int, window: int, buckets: int, hot: frozenset = frozenset()):
+def stretch_pass(units: Units, k: int, window: int, buckets: int, hot: frozenset = frozenset(), sketch: CountMin | None = None):
     """Documents with the places of their repeated anchors to payloads of stretches, by anchor; each stretch of a partition once.
 
     A hot anchor would bring all its surroundings to one bucket. Its runs are cut into pieces of a few windows, by the
@@ -381,7 +432,7 @@ def stretch_pass(units: Units, k: int, window: int, buckets: int, hot: frozenset
             rows = [r for r in rows if len(r[3][2][0])]
             if not rows:
                 continue
-            data, offs, cuts, spans, doc, start, n, h, anchor = picked_runs(units, rows, k, window)
+            data, offs, cuts, spans, doc, start, n, h, anchor = picked_runs(units, rows, k, window, buckets, sketch)
             for i, first, m, hash_, p in zip(doc.tolist(), start.tolist(), n.tolist(), h.tolist(), anchor.tolist(), strict=True):
                 for at, count, core, less in pieces_of(first, m, p, share) if hash_ in hot else [(first, m, 0, 0)]:
                     text = units.stretch(data, offs, spans, cuts, i, at, count + window - 1)
@@ -472,7 +523,7 @@ def dedup(docs: DataFrame, scratch: C.Scratch, units: Units, k: int, window: int
     n = C.partitions(spark)
     src = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NULL_ID)).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     src = src.withColumn("rk", F.xxhash64("doc_id", "text"))
-    raw = C.mapped(src, anchor_pass(units, k, window, n), PACKED)
+    raw = C.mapped(src, anchor_pass(units, k, window, n, sketch), PACKED)
     counted = scratch.store(C.mapped(raw.repartition(n, "bucket"), count_pass(n, sketch, HOT_SHARE, HOT_LEAST), PACKED), "places")
     places = counted.where("kind = 2")
     # At most HOT_SHARE numbers from each bucket.
@@ -487,7 +538,7 @@ def dedup(docs: DataFrame, scratch: C.Scratch, units: Units, k: int, window: int
             out = out.unionByName(t, allowMissingColumns=True)
         return out.repartition(n, "bucket").sortWithinPartitions("bucket", "kind")
 
-    found_at = C.mapped(beside(places), stretch_pass(units, k, window, n, hot), PACKED)
+    found_at = C.mapped(beside(places), stretch_pass(units, k, window, n, hot, sketch), PACKED)
     firsts = scratch.store(C.mapped(found_at.repartition(n, "bucket"), first_pass(group, window, n), PACKED), "firsts")
     del found_at
     scratch.release()
@@ -502,7 +553,7 @@ def dedup(docs: DataFrame, scratch: C.Scratch, units: Units, k: int, window: int
             some = [i for i, r in enumerate(part) if len(r[3][2][0])]
             gone: list = [None] * len(part)
             if some:
-                _, _, cuts, _, doc, start, count, *_ = picked_runs(units, [part[i] for i in some], k, window)
+                _, _, cuts, _, doc, start, count, *_ = picked_runs(units, [part[i] for i in some], k, window, n, sketch)
                 bounds = np.searchsorted(doc, np.arange(len(some) + 1))
                 for j, i in enumerate(some):
                     own = slice(bounds[j], bounds[j + 1])

@@ -1,9 +1,10 @@
 """Substring dedup (operator 8): removes words covered by a window of `window` words that also starts earlier.
 
-Partitions send the hashes of their windows' anchors, with document and place for those met once, to buckets; a bucket
-counts each payload in a count-min sketch and adds the sketches up. Estimates are never too small, so every window that repeats is estimated repeated; a
-second pass groups only those, exactly, by their words. (A sketch for the whole corpus would have to grow with it and
-go to every task; in buckets it is as large, but each task holds a share of fixed size.)
+Partitions add the anchors of their windows (see repeats.py) to a count-min sketch of two rows and send, by bucket, the cells
+that are not zero, each with the document that set it. A bucket merges the sketches of all partitions and tells documents
+which cells have been counted more than once. Estimates are never too small, so every window that repeats is estimated
+repeated; a second pass over the texts sends only those, which are grouped exactly, by their words. The sketch has a share of
+fixed width for each bucket, so it grows with the number of buckets, and no task holds more than the shares it merges.
 
 Null texts have no words; texts with fewer words than the window lose nothing; rows that repeat a doc_id with equal
 text are one document and give equal rows; other ties of doc_id are ordered by a hash of the text. An empty table gives
@@ -22,8 +23,8 @@ from . import repeats as R
 
 WINDOW = 20
 ANCHOR = 10
-#: Two rows of 2^21 cells of one byte for each bucket.
-DEPTH, CELL_BITS = 2, 21
+#: Two rows of 2^22 cells of one byte for each bucket.
+CELL_BITS = 22
 
 
 def equal_windows(text: np.ndarray, lens: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,13 +76,13 @@ def finish_text(doc_id, data, gone):
     return doc_id, len(words), len(words) - len(kept), b" ".join(kept).decode()
 
 
-def remove_repeated_words(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, depth: int = DEPTH, cell_bits: int = CELL_BITS, texts: bool = False) -> DataFrame:
+def remove_repeated_words(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, cell_bits: int = CELL_BITS, texts: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 or, with texts, kept_text (kept words joined by one space)."""
     if not 1 <= anchor <= window or window - anchor + 1 > 128:
         raise ValueError("anchor must be at most window, and window - anchor under 128")
     scratch = C.Scratch(docs.sparkSession, "substring")
     last = "kept_text string" if texts else "kept_sha256 string"
-    return R.dedup(docs, scratch, R.Units(True), anchor, window, equal_windows, finish_text if texts else finish, f"doc_id long, n_words long, n_removed long, {last}", R.CountMin(depth, cell_bits))
+    return R.dedup(docs, scratch, R.Units(True), anchor, window, equal_windows, finish_text if texts else finish, f"doc_id long, n_words long, n_removed long, {last}", R.CountMin(cell_bits))
 
 
 ORACLE_SQL = r"""
