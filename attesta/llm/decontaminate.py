@@ -9,8 +9,12 @@ compares each passage with all items by cosine in that latent space. Candidates
 common subsequence with a stretch of about the item's length must hold SURE of the item, or PERHAPS of it together with
 its answer, its last quarter.
 
-Items are the stated query set; they are held in blocks of at most ITEMS, one search for each block. Null and empty items
-match nothing. Null texts are empty. Each row of documents gives one row; an empty table gives none.
+A passage is compared if it has two terms, or one of an item of fewer than FEW_TERMS, which a passage can hold by one.
+
+Items are the stated query set; they are held in blocks of about ITEMS, with one search for each block, which adds to what
+the rows carry from the one before. Terms are chosen by the word counts of all items, however many blocks there are. Null
+and empty items match nothing. Null texts are empty. Each row of documents gives one row, repeated and null doc_ids too; an
+empty table gives none.
 """
 
 from __future__ import annotations
@@ -21,12 +25,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
+from .repeats import packed, unpacked
 from .toxicity import BREAK, FOLD
 
 BLOCK, RANK, ITEMS = 16, 128, 4096
-COSINE, SURE, PERHAPS, ANSWER = 0.4, 0.7, 0.5, 0.8
+COSINE, SURE, PERHAPS, ANSWER = 0.3, 0.7, 0.5, 0.8
 #: A term stands in at most this share of the items; the rarest terms of an item stay in any case.
 COMMON, KEPT_TERMS = 0.03, 6
+FEW_TERMS = 4
+#: Payloads that the sums of a partition are cut into.
+SHARES = 16
 
 
 def words_of(text: str) -> list[bytes]:
@@ -58,14 +66,15 @@ def common_subsequence(a: list, b: list) -> int:
 
 
 class Terms:
-    """The terms of a block of items, and the items as rows of term counts."""
+    """The terms of a block of items, and the items as rows of term counts. often: in how many of `total` items a word stands."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]]):
+    def __init__(self, items: list[tuple[int, list[bytes]]], often: dict[int, int] | None = None, total: int | None = None):
         self.ids = [i for i, _ in items]
         own = [hashes(w) for _, w in items]
-        kinds, seen = np.unique(np.concatenate([np.unique(h) for h in own]), return_counts=True)
-        often = dict(zip(kinds.tolist(), seen.tolist(), strict=True))
-        most = max(2, COMMON * len(items))
+        if often is None:
+            kinds, seen = np.unique(np.concatenate([np.unique(h) for h in own]), return_counts=True)
+            often = dict(zip(kinds.tolist(), seen.tolist(), strict=True))
+        most = max(2, COMMON * (total or len(items)))
         keep: set[int] = set()
         for h in own:
             u = sorted(set(h.tolist()), key=lambda x: (often[x], x))
@@ -74,6 +83,11 @@ class Terms:
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.known >> np.uint64(44)).astype(np.int64)] = True
         self.rows = [self.find(h)[1] for h in own]
+        #: Terms of items with so few that one may be all that a passage has of them.
+        self.few = np.zeros(len(self.known), bool)
+        for row in self.rows:
+            if len(row) < FEW_TERMS:
+                self.few[row] = True
 
     def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in codes that are terms, and which."""
@@ -129,26 +143,51 @@ def gather(terms: Terms, test: np.ndarray):
             t = term[order]
             start = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
             z[t[start]] += np.add.reduceat(v[back[order]], start, axis=0)
-        some = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, some).astype(np.int64)), pa.array(np.append(total, seen[some])), pa.array([[], *z[some]], pa.list_(pa.float64()))], ["term", "n", "z"])
+        # The sums in payloads, dealt by place of the terms: term, passages and vector.
+        for k in range(SHARES):
+            own = np.flatnonzero(seen[k::SHARES]) * SHARES + k
+            raw = packed(own.astype(np.int32), seen[own], z[own].astype(np.float32))
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([0 if k else total], pa.int64()), pa.array([raw], pa.binary())], ["bucket", "kind", "payload"])
 
     return run
 
 
+def added(batches):
+    """Payloads of partitions to their sums, one for each share; kind: the number of passages."""
+    found: dict[int, list] = {}
+    totals: dict[int, int] = {}
+    for b in batches:
+        for k, n, raw in zip(b.column("bucket").to_pylist(), b.column("kind").to_pylist(), b.column("payload").to_pylist(), strict=True):
+            totals[k] = totals.get(k, 0) + n
+            term, seen, z = unpacked(raw, "<i4", "<i8", "<f4")
+            if k not in found:
+                found[k] = [np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros((0, 1))]
+            if len(term):
+                at = np.union1d(found[k][0], term)
+                n, y = np.zeros(len(at), np.int64), np.zeros((len(at), len(z) // len(term)))
+                for t, own, x in (found[k], (term, seen, z.reshape(len(term), -1))):
+                    if len(t):
+                        n[np.searchsorted(at, t)] += own
+                        y[np.searchsorted(at, t)] += x
+                found[k] = [at, n, y]
+    for k, (term, seen, z) in found.items():
+        yield pa.RecordBatch.from_arrays([pa.array([totals[k]], pa.int64()), pa.array([packed(term.astype(np.int32), seen, z.astype(np.float64))], pa.binary())], ["total", "payload"])
+
+
 def latent(terms: Terms, docs: DataFrame, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
     """Weighted term vectors (inverse passage frequency times an orthonormal basis of the leading space), and items there."""
     rank = min(rank, len(terms.known))
     r = np.random.default_rng(7)
     test = r.normal(size=(len(terms.known), rank)).astype(np.float32)
-    parts = C.mapped(docs.select("text"), gather(terms, test), "term long, n long, z array<double>")
-    # Sums of vectors, place by place, on the executors; rank numbers for each term come here, as many as the items have.
-    flat = parts.select("term", "n", F.posexplode_outer("z").alias("at", "z")).groupBy("term", "at").agg(F.sum("n").alias("n"), F.sum("z").alias("z")).toArrow()
-    term, at, n, z = (flat.column(c).to_numpy() for c in ("term", "at", "n", "z"))
-    total = int(n[term < 0].sum())
-    seen, y = np.zeros(len(terms.known)), np.zeros(test.shape)
-    good = term >= 0
-    seen[term[good]] = n[good]
-    y[term[good], at[good].astype(np.int64)] = z[good]
+    parts = C.mapped(docs.select("text"), gather(terms, test), "bucket int, kind long, payload binary")
+    # Added up on the executors; rank numbers for each term of the block come here.
+    seen, y, total = np.zeros(len(terms.known)), np.zeros(test.shape), 0
+    for row in C.mapped(parts.repartition(SHARES, "bucket"), added, "total long, payload binary").collect():
+        total += row.total
+        term, n, z = unpacked(bytes(row.payload), "<i4", "<i8", "<f8")
+        seen[term] = n
+        if len(term):
+            y[term] = z.reshape(len(term), -1)
     idf = np.log((1 + total) / (1 + seen)) + 0.1
     # The items count as passages too, with so much weight that their terms are not lost among the corpus.
     weight = max(1.0, total / max(1, 20 * len(terms.rows)))
@@ -184,12 +223,13 @@ def holds(item: list, region: list) -> float:
     return best / m if enough and (m >= 5 or best == m) else 0.0
 
 
-def search(terms: Terms, embed: np.ndarray, rows: np.ndarray, items: list[list[int]], keep: tuple[str, ...], fields: str):
-    """Documents to themselves, with the items that they hold."""
+def search(terms: Terms, embed: np.ndarray, rows: np.ndarray, items: list[list[int]], keep: tuple[str, ...]):
+    """Documents to themselves, with the items that they hold added to those found before (columns FOUND)."""
 
     def run(batches):
         longest = max(len(x) for x in items)
-        for own, data, offs in texts_of(batches, *keep):
+        for own, data, offs in texts_of(batches, *keep, *FOUND):
+            *own, known, part = own
             term, block, doc, first, codes, cuts = blocks_of(terms, data, offs)
             found: list[dict[int, float]] = [{} for _ in range(len(offs) - 1)]
             if len(term):
@@ -198,7 +238,9 @@ def search(terms: Terms, embed: np.ndarray, rows: np.ndarray, items: list[list[i
                 pair = np.append(doc[1:] == doc[:-1], False)
                 b[:-1][pair[:-1]] += b[1:][pair[:-1]]
                 hits[:-1][pair[:-1]] += np.append(hits[1:], 0)[: len(doc) - 1][pair[:-1]]
-                some = np.flatnonzero(hits >= 2)
+                lone = np.bincount(block, terms.few[term], len(doc)) > 0
+                lone[:-1][pair[:-1]] |= lone[1:][pair[:-1]]
+                some = np.flatnonzero((hits >= 2) | lone)
                 norm = np.linalg.norm(b[some], axis=1)
                 near = []
                 for i in range(0, len(some), 8192):
@@ -216,39 +258,47 @@ def search(terms: Terms, embed: np.ndarray, rows: np.ndarray, items: list[list[i
                     share = holds(items[x], region)
                     if share > found[d].get(x, 0):
                         found[d][x] = share
-            names = [sorted(terms.ids[x] for x in f) for f in found]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(names, pa.list_(pa.int64())), pa.array([max(f.values(), default=0.0) for f in found])], [*keep, "item_ids", "share"])
+            names = [sorted({*(terms.ids[x] for x in f), *k}) for f, k in zip(found, known.to_pylist(), strict=True)]
+            share = [max(f.values(), default=0.0) for f in found]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(names, pa.list_(pa.int64())), pa.array(np.maximum(share, part.to_numpy()))], [*keep, *FOUND])
 
     return run
 
 
+#: Columns that a search adds to, named apart from those that rows may have.
+FOUND = ("found item_ids", "found share")
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns in keep, item_ids (the items found, ascending) and share (the largest part of one that was found)."""
+    scratch = C.Scratch(docs.sparkSession, "leaks")
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    names = list(dict.fromkeys(["doc_id", *keep]))
-    src = docs.select(*[c for c in names if c != "text"], F.coalesce("text", F.lit("")).alias("text")) if "text" in names else docs.select(*names, F.coalesce("text", F.lit("")).alias("text"))
-    fields = ", ".join(f"`{c}` {types[c]}" for c in names)
+    names = [c for c in dict.fromkeys(["doc_id", *keep]) if c != "text"]
+    fields = ", ".join([*(f"`{c}` {types[c]}" for c in names), "text string", f"`{FOUND[0]}` array<bigint>, `{FOUND[1]}` double"])
+    src = docs.select(*names, F.coalesce("text", F.lit("")).alias("text"), F.array().cast("array<bigint>").alias(FOUND[0]), F.lit(0.0).alias(FOUND[1]))
     asked = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     n = asked.count()
-    out = None
-    for block in range(-(-n // ITEMS)):
+    blocks = -(-n // ITEMS)
+
+    def words(batches):
+        for b in batches:
+            found = [np.unique(hashes(words_of(t))) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], ["word"])
+
+    # One number for each word of the items, which are what is asked for.
+    counted = C.mapped(asked.select("text"), words, "word long").groupBy("word").agg(F.count("*").alias("n")).toArrow()
+    often = dict(zip(counted.column("word").to_numpy().view(np.uint64).tolist(), counted.column("n").to_pylist(), strict=True))
+    for block in range(blocks):
         # A block holds about ITEMS items, however many there are.
-        own = asked.where(F.pmod(F.xxhash64("item_id"), F.lit(-(-n // ITEMS))) == block).orderBy("item_id", "text").collect()
+        own = asked.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
         items = [(r.item_id, w) for r in own if (w := words_of(r.text))]
         if not items:
             continue
-        terms = Terms(items)
+        terms = Terms(items, often, n)
         embed, rows = latent(terms, src)
-        codes = [hashes(w).tolist() for _, w in items]
-        found = C.mapped(src.select(*names, *([] if "text" in names else ["text"])), search(terms, embed, rows, codes, tuple(names), fields), f"{fields}, item_ids array<bigint>, share double")
-        if out is None:
-            out = found
-        else:
-            more = found.select(F.col("doc_id").alias("d"), F.xxhash64("doc_id").alias("h"), F.col("item_ids").alias("i"), F.col("share").alias("s")).where("size(i) > 0").groupBy("d").agg(F.array_distinct(F.flatten(F.collect_list("i"))).alias("i"), F.max("s").alias("s"))
-            out = out.join(more, F.col("doc_id").eqNullSafe(F.col("d")), "left").select(*names, F.when(F.col("i").isNull(), F.col("item_ids")).otherwise(F.array_sort(F.array_union("item_ids", "i"))).alias("item_ids"), F.greatest("share", F.coalesce("s", F.lit(0.0))).alias("share"))
-    if out is None:
-        out = src.select(*names, F.array().cast("array<bigint>").alias("item_ids"), F.lit(0.0).alias("share"))
-    return out
+        out = C.mapped(src, search(terms, embed, rows, [hashes(w).tolist() for _, w in items], (*names, "text")), fields)
+        src = scratch.store(out, "found") if block < blocks - 1 else out
+    return src.select(*dict.fromkeys(["doc_id", *keep]), F.col(FOUND[0]).alias("item_ids"), F.col(FOUND[1]).alias("share"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

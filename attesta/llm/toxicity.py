@@ -6,9 +6,12 @@ with logistic loss l; where the bracket falls below zero the step goes uphill on
 presence of features chosen by how much more often P has them than U. Only the text is an input of the score.
 
 Rows to learn from are those whose crc32 of doc_id as text is not 0 modulo 5. The sample is bounded: about POSITIVES
-confirmed and UNLABELLED other texts, picked by a hash of doc_id; what is collected is their counts of at most FEATURES
-features. Every text is scored whole. Null texts are empty; an empty text gets the score of no features; with no
-confirmed example the score is 0 for all. Rows that repeat a doc_id are scored each. An empty table gives no rows.
+confirmed and UNLABELLED other ids, picked by a hash, of which each gives one text (rows that repeat an id give that with the
+smallest hash). Features to choose from are the CANDIDATES that most confirmed texts of the sample have; FEATURES of them at
+most are used, and what is collected is which texts of the sample have them. Every text is scored whole.
+
+Null texts are empty; an empty text gets the score of no features; with no confirmed example the score is 0 for all. Rows
+with a null doc_id teach nothing; rows that repeat a doc_id are scored each. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-POSITIVES, UNLABELLED, FEATURES = 4000, 12000, 16384
+POSITIVES, UNLABELLED, FEATURES, CANDIDATES = 4000, 12000, 16384, 131072
 LEAST_SEEN = 5
 LIFT = 1.5
 BEGINNINGS = (4, 5, 6)
@@ -82,6 +85,37 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
+def stacked(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Text and place of each feature that is present, and the number of texts."""
+    at = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
+    return np.repeat(np.arange(len(rows)), [len(x) for x in rows]), at, len(rows)
+
+
+def gradient(w: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> tuple[np.ndarray, bool]:
+    """The direction to step against for weights w, the offset last; and whether the bracket of the risk is below zero.
+
+    Above zero it is the gradient of the risk, below it that of the bracket, turned round: the step goes uphill on it.
+    """
+    n = len(w) - 1
+    out = np.zeros(n + 1)
+    doc_p, at_p, k_p = stacked(positive)
+    doc_u, at_u, k_u = stacked(unlabelled)
+    f_p, f_u = np.bincount(doc_p, w[at_p], k_p) + w[n], np.bincount(doc_u, w[at_u], k_u) + w[n]
+
+    def add(doc, at, slope):
+        out[:n] += np.bincount(at, slope[doc], n)
+        out[n] += slope.sum()
+
+    # l(f, 0) = log(1 + e^f) and l(f, 1) = l(f, 0) - f; the slope of l(f, 0) is the sigmoid.
+    below = bool(np.logaddexp(0, f_u).mean() - prior * np.logaddexp(0, f_p).mean() < 0)
+    sign = -1 if below else 1
+    add(doc_u, at_u, sign * sigmoid(f_u) / k_u)
+    add(doc_p, at_p, -sign * prior * sigmoid(f_p) / k_p)
+    if not below:
+        add(doc_p, at_p, prior * (sigmoid(f_p) - 1) / k_p)
+    return out, below
+
+
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], n: int, prior: float, seed: int = 0) -> tuple[np.ndarray, float]:
     """Weights and offset that minimise the non-negative risk, by Adam on mixed batches."""
     r = np.random.default_rng(seed)
@@ -89,38 +123,12 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], n: int, prior:
     w[n] = np.log(prior / (1 - prior))
     m, v, t = np.zeros(n + 1), np.zeros(n + 1), 0
     steps = max(1, -(-(len(positive) + len(unlabelled)) // BATCH))
-
-    def batch(rows, order):
-        own = [rows[i] for i in order]
-        return np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate(own).astype(np.int64) if own else np.zeros(0, np.int64), len(own)
-
     for _ in range(EPOCHS):
         parts = [np.array_split(r.permutation(len(x)), steps) for x in (positive, unlabelled)]
         for p, u in zip(*parts, strict=True):
             if not len(p) or not len(u):
                 continue
-            grads, risk = [], []
-            for rows, order in ((positive, p), (unlabelled, u)):
-                doc, at, k = batch(rows, order)
-                f = np.bincount(doc, w[at], k) + w[n]
-                grads.append((doc, at, k, sigmoid(f)))
-                risk.append(np.logaddexp(0, f).mean())
-            g = np.zeros(n + 1)
-
-            def add(which, slope, g=g, grads=grads):
-                doc, at, _, _ = grads[which]
-                g[:n] += np.bincount(at, slope[doc], n)
-                g[n] += slope.sum()
-
-            (_, _, kp, sp), (_, _, ku, su) = grads
-            below = risk[1] - prior * risk[0] < 0
-            if below:
-                # The negative part has become overfitted: step back on it only.
-                add(0, prior * sp / kp)
-                add(1, -su / ku)
-            else:
-                add(0, prior * (sp - 1) / kp - prior * sp / kp)
-                add(1, su / ku)
+            g, _ = gradient(w, [positive[i] for i in p], [unlabelled[i] for i in u], prior)
             g[:n] += DECAY * w[:n]
             t += 1
             m = 0.9 * m + 0.1 * g
@@ -143,13 +151,13 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
         return None
     prior = min(max(counts.p / counts.n, 1e-4), 0.9)
     total = own.agg(F.count("*")).first()[0]
-    # A hash of the id in 0..1 decides who is in the sample; 1.3 times the expected number is the most that is taken.
-    rank = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
+    # A hash of the id in 0..1 decides which ids are in the sample, so their number is about what is asked for at most.
+    chance = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
+    one = lambda rows, p: rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", F.lit(p).alias("p"))
     # Only ids of confirmed texts below the sampling rate are looked up, so the side that is broadcast has a known size.
-    of_p = min(1.0, positives / counts.p)
-    confirmed = marks.where((F.col("toxic") == 1) & (F.pmod(F.xxhash64(F.col("labelled"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30) < of_p)).select("labelled").limit(int(positives * 1.3))
-    sample_p = own.join(F.broadcast(confirmed), own.doc_id == F.col("labelled")).select("text", F.lit(1).alias("p"))
-    sample_u = own.where(rank < min(1.0, unlabelled / max(total, 1))).limit(int(unlabelled * 1.3)).select("text", F.lit(0).alias("p"))
+    confirmed = marks.where((F.col("toxic") == 1) & (chance("labelled") < min(1.0, positives / counts.p))).select("labelled")
+    sample_p = one(own.join(F.broadcast(confirmed), own.doc_id == F.col("labelled")), 1)
+    sample_u = one(own.where(chance("doc_id") < min(1.0, unlabelled / max(total, 1))), 0)
     scratch = C.Scratch(docs.sparkSession, "toxicity")
     sample = scratch.store(sample_p.unionByName(sample_u).repartition(max(1, min(64, (positives + unlabelled) // 500))), "sample")
 
@@ -169,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     # Candidates are features of enough confirmed texts: at most features-of-the-sample / least of them.
     least = min(LEAST_SEEN, max(1, n_p // 20))
     tallied = C.mapped(sample.where("p = 1").select("text"), tally, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    candidates = tallied.where(F.col("n") >= least).orderBy(F.desc("n"), "code").limit(8 * FEATURES).toArrow()
+    candidates = tallied.where(F.col("n") >= least).orderBy(F.desc("n"), "code").limit(CANDIDATES).toArrow()
     known = Vocabulary(candidates.column("code").to_numpy().view(np.uint64))
 
     def share(batches):

@@ -62,3 +62,58 @@ def test_blocks_of_items_and_empty(spark, monkeypatch):
     assert {r.doc_id: r.item_ids for r in D.find_leaks(docs, bench).collect()} == slow(texts, items)
     assert D.find_leaks(docs, bench.limit(0)).where("size(item_ids) > 0").count() == 0
     assert D.find_leaks(docs.limit(0), bench).count() == 0
+
+
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        diagonal = 0
+        for j, y in enumerate(b):
+            diagonal, row[j + 1] = row[j + 1], diagonal + 1 if x == y else max(row[j + 1], row[j])
+    return row[-1]
+
+
+def plain_words(text):
+    return "".join(c if c.isalnum() or ord(c) > 127 else " " for c in text.lower()).split()
+
+
+def share_of(item, words):
+    """The largest part of the item that a stretch of its length and a quarter more has in order, and so for its last quarter."""
+    m = len(item)
+    size = m + max(2, m // 4)
+    stretches = [words[i : i + size] for i in range(max(1, len(words) - size + 1))]
+    best = max(stretches, key=lambda x: lcs(item, x))
+    answer = item[-max(3, m // 4) :]
+    return lcs(item, best) / m, lcs(answer, best) / len(answer)
+
+
+def test_op7_finds_what_the_definition_says(spark):
+    """Against a check of its own, over all stretches; the operator may look at stretches an eighth of an item apart."""
+    texts, items = corpus()
+    texts, items = texts[50:], {k: v for k, v in list(items.items())[:12]} | {77: "zwischenzeit", 79: "two terms"}
+    texts += ["it was zwischenzeit then", "these two, terms", "two such terms"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {r.doc_id: r.item_ids for r in D.find_leaks(docs, bench).collect()}
+    for i, t in enumerate(texts):
+        for k, item in items.items():
+            x = plain_words(item)
+            share, answer = share_of(x, plain_words(t or ""))
+            if k in got[i]:
+                assert share >= 0.7 or (share >= 0.5 and answer >= 0.8) or len(x) < 5
+            elif len(x) < 5:
+                assert share < 1
+            else:
+                assert share < 0.8
+    assert got[len(texts) - 3] == [77] and got[len(texts) - 2] == [79]
+
+
+def test_repeated_and_null_ids_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(D, "ITEMS", 1)
+    r = random.Random(4)
+    item = lambda: " ".join(f"{r.choice('abcdef')}{r.randrange(10**6)}" for _ in range(20))
+    items = {5: item(), 6: item()}
+    rows = [(1, items[6], 0.5), (1, items[5], 0.5), (None, items[5] + " " + items[6], 0.5), (2, "filler " * 60_000 + items[5] + " filler" * 60_000, None), (2, None, 0.1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, share double")
+    found = D.find_leaks(docs, spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()
+    assert sorted((x.doc_id or 0, x.item_ids) for x in found) == [(0, [5, 6]), (1, [5]), (1, [6]), (2, []), (2, [5])]
