@@ -5,20 +5,25 @@ first 16 bytes of the SHA-256 of the dictionary; then the offset index, three 64
 number of ids, end of its frame); then the frames, each a document's ids compressed on its own with the dictionary. All
 integers are little-endian. A document is read by one seek to its index entry and one to its frame.
 
-Files come in ascending order of doc_id (a null id first; equal ids by a hash of the text), at most FILE_BYTES of frames
-each. They are rows of a Parquet table, beside one with the dictionary, so that any store Spark writes to will do.
-`end_id` follows every document. Null texts are empty; an empty table gives no files and no rows.
+Files come in ascending order of doc_id (a null id first; equal ids by a hash of the text), with about FILE_BYTES of frames
+each. Tasks write them to a folder that all executors share (any that pyarrow.fs reaches) under a name of their own first and
+then move them, so a task that runs again leaves one file. A Parquet table lists them with their first and last doc_id, and
+`documents` opens a document by it. The width is 2 if all ids of the vocabulary fit, else 4. `end_id` follows every document.
+Null texts are empty; rows that repeat a doc_id are documents each; an empty table gives no files and no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
 import struct
+import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,22 +43,39 @@ def header(width: int, n: int, dictionary: bytes) -> bytes:
 
 
 class Reader:
-    """One token file."""
+    """One token file, from anything with seek and read."""
 
-    def __init__(self, image: bytes, dictionary: bytes):
-        magic, version, self.width, self.n, digest = HEAD.unpack_from(image)
+    def __init__(self, file, dictionary: bytes):
+        self.file = file
+        magic, version, self.width, self.n, digest = HEAD.unpack(file.read(HEAD.size))
         if magic != MAGIC or version != VERSION:
             raise ValueError("not a token file")
         if digest != hashlib.sha256(dictionary).digest()[:16]:
             raise ValueError("the file was written with another dictionary")
-        self.index = np.frombuffer(image, "<i8", self.n * 3, HEAD.size).reshape(-1, 3)
-        self.image, self.at = image, HEAD.size + self.n * 24
+        self.index = np.frombuffer(file.read(self.n * 24), "<i8").reshape(-1, 3)
+        self.at = HEAD.size + self.n * 24
         self.unpack = decompressor(dictionary)
 
     def ids(self, i: int) -> np.ndarray:
         start = int(self.index[i - 1, 2]) if i else 0
-        raw = self.unpack.decompress(self.image[self.at + start : self.at + int(self.index[i, 2])])
-        return np.frombuffer(raw, f"<u{self.width}")
+        self.file.seek(self.at + start)
+        out = np.frombuffer(self.unpack.decompress(self.file.read(int(self.index[i, 2]) - start)), f"<u{self.width}")
+        if len(out) != self.index[i, 1]:
+            raise ValueError("a frame does not hold what the index says")
+        return out
+
+
+def opened(path: str):
+    """File system and path in it."""
+    return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+
+
+def put(path: str, data: bytes) -> None:
+    store, at = opened(path)
+    own = f"{at}.{uuid.uuid4().hex}"
+    with store.open_output_stream(own) as f:
+        f.write(data)
+    store.move(own, at)
 
 
 def zdict(dictionary: bytes):
@@ -76,12 +98,26 @@ def train(samples: list[bytes]) -> bytes:
         return b""
 
 
-def write(docs: DataFrame, end_id: int = 0, path: str = DEFAULT, width: int = 2, scratch: C.Scratch | None = None) -> tuple[DataFrame, bytes]:
-    """The table of files (range, file, n_docs, n_ids, image) and the dictionary."""
+def width_for(path: str, end_id: int, width: int | None = None) -> int:
+    """The bytes that an id takes; an error if that is asked to be too few."""
+    need = 2 if max(encoder(path).largest, end_id) < 1 << 16 else 4
+    if width is None:
+        return need
+    if width not in (2, 4) or width < need:
+        raise ValueError(f"ids of this vocabulary take {need} bytes")
+    return width
+
+
+def write(docs: DataFrame, end_id: int = 0, path: str = DEFAULT, width: int | None = None, folder: str | None = None, scratch: C.Scratch | None = None) -> tuple[DataFrame, bytes]:
+    """The table of files (range, file, n_docs, n_ids, first_id, last_id, path) and the dictionary; both are in `folder` too."""
     spark = docs.sparkSession
     scratch = scratch or C.Scratch(spark, "tokens")
+    folder = (folder or f"{scratch.root}/images").replace("file:///", "/").rstrip("/")
+    store, place = opened(folder)
+    store.create_dir(place, recursive=True)
     n = C.partitions(spark)
     src = keyed(docs)
+    width = width_for(path, end_id, width)
     kind = f"<u{width}"
 
     def sample(batches):
@@ -94,7 +130,7 @@ def write(docs: DataFrame, end_id: int = 0, path: str = DEFAULT, width: int = 2,
     few = src.where(rank < min(1.0, SAMPLE_DOCS / max(1, total))).limit(2 * SAMPLE_DOCS).select("text")
     samples = sorted(r.ids for r in C.mapped(few, sample, "ids binary").collect())
     dictionary = train(samples)
-    scratch.store(spark.createDataFrame([(dictionary, hashlib.sha256(dictionary).hexdigest())], "dictionary binary, sha256 string"), "dictionary")
+    put(f"{folder}/dictionary", dictionary)
     cuts = src.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) if n > 1 and total else []
     bounds = np.unique(np.array(cuts, np.float64))
 
@@ -120,7 +156,10 @@ def write(docs: DataFrame, end_id: int = 0, path: str = DEFAULT, width: int = 2,
             ids, counts, frames = zip(*state["rows"], strict=True)
             index = np.stack([np.array(ids, np.int64), np.array(counts, np.int64), np.cumsum([len(f) for f in frames])], axis=1).astype("<i8")
             image = header(width, len(ids), dictionary) + index.tobytes() + b"".join(frames)
-            yield pa.RecordBatch.from_arrays([pa.array([state["range"]], pa.int32()), pa.array([state["file"]], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([sum(counts)], pa.int64()), pa.array([image], pa.binary())], ["range", "file", "n_docs", "n_ids", "image"])
+            at = f"{folder}/{state['range']:06d}-{state['file']:06d}.tokz"
+            put(at, image)
+            row = [state["range"], state["file"], len(ids), sum(counts), ids[0], ids[-1], at]
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.string()), strict=True)], ["range", "file", "n_docs", "n_ids", "first_id", "last_id", "path"])
             state["file"] += 1
             state["rows"], state["size"] = [], 0
 
@@ -137,7 +176,7 @@ def write(docs: DataFrame, end_id: int = 0, path: str = DEFAULT, width: int = 2,
 
     framed = C.mapped(src, encode, "range int, doc_id long, rk long, n long, frame binary")
     sorted_ = framed.repartition(n, "range").sortWithinPartitions("range", "doc_id", "rk").drop("rk")
-    return scratch.store(C.mapped(sorted_, files, "range int, file int, n_docs long, n_ids long, image binary"), "files"), dictionary
+    return scratch.store(C.mapped(sorted_, files, "range int, file int, n_docs long, n_ids long, first_id long, last_id long, path string"), "files"), dictionary
 
 
 def read(files: DataFrame, dictionary: bytes) -> DataFrame:
@@ -150,17 +189,17 @@ def read(files: DataFrame, dictionary: bytes) -> DataFrame:
     base = files.sparkSession.createDataFrame(bases, "of int, base long")
     inner = F.sum("n_ids").over(Window.partitionBy("range").orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
     starts = files.select("range", "file", F.coalesce(inner, F.lit(0)).alias("inner")).join(base, F.col("range") == F.col("of")).select(F.col("range").alias("r"), F.col("file").alias("f"), (F.col("base") + F.col("inner")).alias("start"))
-    placed = files.join(starts.hint("shuffle_hash"), (F.col("range") == F.col("r")) & (F.col("file") == F.col("f"))).select("start", "image")
+    placed = files.join(starts, (F.col("range") == F.col("r")) & (F.col("file") == F.col("f"))).select("start", "path").repartition(C.partitions(files.sparkSession), "path")
 
     def run(batches):
         for b in batches:
-            for start, image in zip(b.column("start").to_pylist(), b.column("image").to_pylist(), strict=True):
-                f = Reader(image, dictionary)
+            for start, path in zip(b.column("start").to_pylist(), b.column("path").to_pylist(), strict=True):
+                store, at = opened(path)
                 counts, crcs = [], []
+                with store.open_input_stream(at) as whole:
+                    f = Reader(io.BytesIO(whole.read()), dictionary)
                 for i in range(f.n):
                     ids = f.ids(i)
-                    if len(ids) != f.index[i, 1]:
-                        raise ValueError("a frame does not hold what the index says")
                     counts.append(len(ids))
                     crcs.append(zlib.crc32(ids.astype("<u4").tobytes()))
                 n = np.array(counts, np.int64)
@@ -170,5 +209,18 @@ def read(files: DataFrame, dictionary: bytes) -> DataFrame:
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(C.NULL_ID)))
 
 
+def documents(files: DataFrame, dictionary: bytes, doc_id: int | None) -> list[np.ndarray]:
+    """The ids of each row with this doc_id: of a file, its index and one frame for each are read."""
+    own = C.NULL_ID if doc_id is None else doc_id
+    out = []
+    for r in files.where((F.col("first_id") <= own) & (F.col("last_id") >= own)).orderBy("range", "file").select("path").collect():
+        store, at = opened(r.path)
+        with store.open_input_file(at) as f:
+            reader = Reader(f, dictionary)
+            i, j = (int(np.searchsorted(reader.index[:, 0], own, side)) for side in ("left", "right"))
+            out += [reader.ids(k) for k in range(i, j)]
+    return out
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(*write(C.table(spark, sf_dir, "documents")))

@@ -36,6 +36,7 @@ class Encoder:
     def __init__(self, path: str = DEFAULT):
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
+        self.largest = max(self.whole.get_vocab(with_added_tokens=True).values())
         self.letters = byte_letters()
         self.space = self.letters[32]
         self.cut = regex.compile(public_tokenizers.PATTERN)

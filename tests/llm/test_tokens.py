@@ -43,19 +43,36 @@ def test_op6_round_trip(spark, whole):
         start += len(x)
 
 
-def test_op6_files(spark, monkeypatch):
+def test_op6_files(spark, whole, tmp_path, monkeypatch):
     monkeypatch.setattr(tokenfile, "FILE_BYTES", 200)
-    df = spark.createDataFrame([(i, f"text number {i}") for i in range(40)] + [(None, "no id")], "doc_id long, text string")
-    files, dictionary = tokenfile.write(df)
-    rows = files.orderBy("range", "file").collect()
-    ids = [int(d) for r in rows for d in tokenfile.Reader(r.image, dictionary).index[:, 0]]
-    assert ids == [tokenfile.C.NULL_ID, *range(40)] and len(rows) > 4
+    rows = [(i, f"text number {i}") for i in range(40)] + [(None, "no id"), (7, "another seven"), (7, "another seven")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    files, dictionary = tokenfile.write(df, folder=str(tmp_path / "out"))
+    listed = files.orderBy("range", "file").collect()
+    on_disk = sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith("."))
+    assert on_disk == sorted(["dictionary", *(r.path.rpartition("/")[2] for r in listed)]) and len(listed) > 4
+    assert (tmp_path / "out" / "dictionary").read_bytes() == dictionary
+    ids = [int(d) for r in listed for d in tokenfile.Reader(open(r.path, "rb"), dictionary).index[:, 0]]
+    assert ids == [tokenfile.C.NULL_ID, *range(8), 7, 7, *range(8, 40)]
+    for i in (None, 0, 7, 39):
+        want = sorted(ids_of(whole, t, 0).tolist() for d, t in rows if d == i)
+        assert sorted(x.tolist() for x in tokenfile.documents(files, dictionary, i)) == want
+    assert tokenfile.documents(files, dictionary, 400) == []
     with pytest.raises(ValueError):
-        tokenfile.Reader(rows[0].image, dictionary + b"x")
+        tokenfile.Reader(open(listed[0].path, "rb"), dictionary + b"x")
     empty, dictionary = tokenfile.write(df.limit(0))
     assert tokenfile.read(empty, dictionary).count() == 0
 
 
+def test_op6_width(spark):
+    assert tokenfile.width_for(tokens.DEFAULT, 0) == 2 and tokenfile.width_for(tokens.DEFAULT, 1 << 16) == 4
+    with pytest.raises(ValueError):
+        tokenfile.width_for(tokens.DEFAULT, 70_000, 2)
+    df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    files, dictionary = tokenfile.write(df, end_id=70_000)
+    assert [x.tolist()[-1] for i in (1, 2) for x in tokenfile.documents(files, dictionary, i)] == [70_000] * 2
+
+
 def test_op9_packs_every_piece_once(spark, whole):
     rows = [(i, t, 5) for i, t in enumerate(texts())] + [(3, texts()[3], 5), (None, "x y z", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, length int").repartition(3)
