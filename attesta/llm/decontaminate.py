@@ -223,11 +223,52 @@ def holds(item: list, region: list) -> float:
     return best / m if enough and (m >= 5 or best == m) else 0.0
 
 
+#: Bits of a bitmap of words, and the reach in blocks beyond which one would be full.
+WORD_BITS, FAR = 512, 16
+
+
+def word_bits(codes: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """For each of n rows a bitmap with a bit for each of its words."""
+    flat = np.zeros(n * WORD_BITS, bool)
+    flat[row * WORD_BITS + (codes >> np.uint64(64 - 9)).astype(np.int64)] = True
+    return np.packbits(flat).view(np.uint64).reshape(n, -1)
+
+
+class Absent:
+    """Turns candidates away of which the surroundings lack more words than the check lets an item lack.
+
+    A bit that an item has and its surroundings have not stands for at least one word that can't be in the common
+    subsequence, so no candidate that the check would find is lost.
+    """
+
+    def __init__(self, items: list[list[int]]):
+        size = np.array([len(x) for x in items])
+        codes = np.concatenate([np.array(x, np.uint64) for x in items])
+        self.bits = word_bits(codes, np.repeat(np.arange(len(items)), size), len(items))
+        self.most = np.where(size < 5, 0, np.floor(size * (1 - PERHAPS) + 1e-9)).astype(np.int64)
+        self.reach = -(-size // BLOCK)
+
+    def keep(self, blocks: np.ndarray, at: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """blocks: bitmaps of all blocks; at: the first of a candidate's two blocks."""
+        out = np.ones(len(at), bool)
+        reach = self.reach[item]
+        for r in np.unique(reach[reach <= FAR]).tolist():
+            own = np.flatnonzero(reach == r)
+            # The surroundings: r blocks on either side, and so those of the two blocks together.
+            first = np.unique(at[own])
+            around = np.zeros((len(first), blocks.shape[1]), np.uint64)
+            for d in range(-r, r + 2):
+                around |= blocks[np.clip(first + d, 0, len(blocks) - 1)]
+            lack = np.bitwise_count(self.bits[item[own]] & ~around[np.searchsorted(first, at[own])]).sum(axis=1, dtype=np.int64)
+            out[own] = lack <= self.most[item[own]]
+        return out
+
+
 def search(terms: Terms, embed: np.ndarray, rows: np.ndarray, items: list[list[int]], keep: tuple[str, ...]):
     """Documents to themselves, with the items that they hold added to those found before (columns FOUND)."""
 
     def run(batches):
-        longest = max(len(x) for x in items)
+        absent = Absent(items)
         for own, data, offs in texts_of(batches, *keep, *FOUND):
             *own, known, part = own
             term, block, doc, first, codes, cuts = blocks_of(terms, data, offs)
@@ -248,6 +289,12 @@ def search(terms: Terms, embed: np.ndarray, rows: np.ndarray, items: list[list[i
                     p, k = np.nonzero(cosine >= COSINE)
                     near.append((some[i + p], k))
                 p, k = (np.concatenate(x) for x in zip(*near, strict=True)) if near else (np.zeros(0, int), np.zeros(0, int))
+                if len(p):
+                    word = np.arange(len(codes))
+                    of = np.searchsorted(cuts, word, side="right") - 1
+                    bits = word_bits(codes, first[of] + (word - cuts[of]) // BLOCK, len(doc))
+                    good = absent.keep(bits, p, k)
+                    p, k = p[good], k[good]
                 for i, x in zip(p.tolist(), k.tolist(), strict=True):
                     d = int(doc[i])
                     if found[d].get(x, 0) >= 1:
