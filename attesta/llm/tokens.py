@@ -1,14 +1,14 @@
 """Texts to token ids with the tokenizers library, word by word.
 
 A byte-level BPE cuts a text into stretches by a pattern before it merges anything, and always cuts before a single space
-that a non-space follows. So a text can be taken apart there, and the ids of a word are looked up or, when new, come
-from the library's BPE model, stretch by stretch. Added tokens are cut out first, as the library does. The library is never
+that a non-space follows; a line feed between two non-spaces is a stretch of its own. So a text can be taken apart there, and
+the ids of a word are looked up or, when new, come from the library's BPE model, stretch by stretch. Added tokens are cut out first, as the library does. The library is never
 given a long text whole, which would take it a hundred bytes and more for each byte.
 """
 
 from __future__ import annotations
 
-from struct import pack
+from struct import Struct, pack
 
 import numpy as np
 import public_tokenizers
@@ -18,9 +18,12 @@ from tokenizers import Tokenizer
 DEFAULT = public_tokenizers.path("byte_bpe_50k.json")
 #: Words of up to WORD characters that are remembered in a Python worker; about 200 bytes each. Others are encoded each time.
 REMEMBERED, WORD = 200_000, 64
+#: Later words are remembered until there are so many, and then forgotten together.
+RECENT = 100_000
 END_MARKS = frozenset(".,;:!?")
-#: A space that does not begin a stretch, as white space is behind it, and one that does.
-LOOSE, FIRM = regex.compile(r" \s"), regex.compile(r" (?=\S)")
+#: A space that begins a stretch, as a non-space is behind it.
+FIRM = regex.compile(r" (?=\S)")
+PACK = [Struct(f"<{n}I").pack for n in range(65)]
 
 
 def byte_letters() -> dict[int, str]:
@@ -30,6 +33,10 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Loose(Exception):
+    """White space other than single spaces and line feeds between non-spaces."""
+
+
 class Encoder:
     """encode(text) gives ids as little-endian unsigned 32-bit integers. path: a tokenizer file."""
 
@@ -41,6 +48,8 @@ class Encoder:
         self.space = self.letters[32]
         self.cut = regex.compile(public_tokenizers.PATTERN)
         self.words: dict[str, bytes] = {}
+        self.recent: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
         added = self.whole.get_added_tokens_decoder()
         if any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
@@ -53,21 +62,50 @@ class Encoder:
         return self.merged(text.encode().decode("latin-1").translate(self.letters))
 
     def merged(self, letters: str) -> bytes:
-        return pack("<%dI" % len(found), *[t.id for t in found]) if (found := self.model.tokenize(letters)) else b""
+        ids = [t.id for t in self.model.tokenize(letters)]
+        return PACK[len(ids)](*ids) if len(ids) < 65 else pack("<%dI" % len(ids), *ids)
 
     def word(self, word: str) -> bytes:
-        """Ids of a word behind a space."""
+        """Ids of a word without white space, behind a space."""
+        out = self.recent.get(word)
+        if out is not None:
+            return out
         if word.isalpha():
             out = self.merged(self.space + word) if word.isascii() else self.stretch(" " + word)
-        elif word and word[-1] in END_MARKS and word[:-1].isalpha():
-            known = self.words.get(word[:-1])
-            out = (self.word(word[:-1]) if known is None else known) + self.plain(word[-1])
+        elif word.split() != [word]:
+            raise Loose
+        elif word[-1] in END_MARKS and (core := word[:-1]).isalpha():
+            known = self.words.get(core)
+            out = (self.word(core) if known is None else known) + self.plain(word[-1])
+            if len(self.words) >= REMEMBERED:
+                return out
         else:
             out = b"".join(map(self.stretch, self.cut.findall(" " + word)))
-        if len(word) <= WORD and len(self.words) < REMEMBERED:
-            self.words[word] = out
+        if len(word) <= WORD:
+            if len(self.words) < REMEMBERED:
+                self.words[word] = out
+            else:
+                if len(self.recent) >= RECENT:
+                    self.recent.clear()
+                self.recent[word] = out
         return out
 
+    def head(self, word: str) -> bytes:
+        """Ids of what stands before the first space of a line."""
+        out = self.heads.get(word)
+        if out is None:
+            if word.split() != [word]:
+                raise Loose
+            out = self.cut_up(word)
+            if len(word) <= WORD:
+                if len(self.heads) >= RECENT:
+                    self.heads.clear()
+                self.heads[word] = out
+        return out
+
+    def cut_up(self, text: str) -> bytes:
+        return b"".join(map(self.stretch, self.cut.findall(text)))
+
     def plain(self, mark: str) -> bytes:
         if mark not in self.marks:
             self.marks[mark] = self.stretch(mark)
@@ -86,11 +124,18 @@ class Encoder:
         """Ids of a text without added tokens."""
         if not text:
             return b""
-        first, *rest = FIRM.split(text) if LOOSE.search(text) else text.split(" ")
-        ids = list(map(self.words.get, rest))
-        if None in ids:
-            ids = [self.word(w) if x is None else x for w, x in zip(rest, ids, strict=True)]
-        return b"".join([*map(self.stretch, self.cut.findall(first)), *ids])
+        known, out = self.words.get, []
+        try:
+            for line in text.split("\n"):
+                first, *rest = line.split(" ")
+                ids = list(map(known, rest))
+                if None in ids:
+                    ids = [self.word(w) if x is None else x for w, x in zip(rest, ids, strict=True)]
+                out.append(b"".join([self.head(first), *ids]))
+            return self.plain("\n").join(out)
+        except Loose:
+            first, *rest = FIRM.split(text)
+            return b"".join([self.cut_up(first), *(known(w) or self.cut_up(" " + w) for w in rest)])
 
 
 _encoders: dict[str, Encoder] = {}
