@@ -41,8 +41,11 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/attesta/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
-    def store(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def store(self, df: DataFrame, name: str = "t", few: bool = False) -> DataFrame:
+        """few: a table that is small beside the input, written as a quarter of the files."""
         self.n += 1
+        if few:
+            df = df.coalesce(max(1, partitions(self.spark) // 4))
         path = f"{self.root}/{self.n:03d}-{name}"
         # Shuffle files go as soon as the table stands, not when the driver happens to collect its garbage.
         before = self.spark.conf.get(CLEANUP, None)
@@ -189,23 +192,26 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(u, v) edges of longs to (u, v): v is the smallest id reachable from u, for each u that is not itself the smallest.
 
     Alternates large-star and small-star steps, each an aggregation by node (partial sums first, so a node with very
-    many edges is no single task's work) and a join that AQE may split. Each round is a table in the shared folder.
+    many edges is no single task's work) and a join that AQE may split. Two rounds of steps are one table in the shared
+    folder. They end when all edges are stars: each node has one edge, to a node that has none itself.
     """
     spark = scratch.spark
-    now = scratch.store(mapped(edges.select("u", "v"), _contract, "u long, v long"), "edges")
-    last = None
-    while True:
+
+    def round_of(now: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
         near = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(near, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        new = scratch.store(small.where("u <> v").distinct(), "stars")
-        state = new.agg(F.count("*"), F.sum(F.col("v").cast("decimal(38,0)")), F.sum(F.col("u").cast("decimal(38,0)")), F.countDistinct("u")).first()
+        return small.where("u <> v").distinct()
+
+    now = scratch.store(mapped(edges.select("u", "v"), _contract, "u long, v long"), "edges")
+    while True:
+        new = scratch.store(round_of(round_of(now)), "stars", few=True)
         scratch.drop(now)
         now = new
-        # Stars already: each node has one edge, no root is a node, and a further round changed nothing.
-        if state[0] == 0 or state == last:
+        many = now.groupBy("u").agg(F.count("*").alias("n")).where("n > 1")
+        chained = now.select("u").join(now.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
+        if not many.select("u").unionByName(chained).limit(1).count():
             return now
-        last = state

@@ -204,10 +204,10 @@ def link_lines(src: DataFrame, scratch: C.Scratch) -> DataFrame:
 
     texts = C.mapped(src.select("text"), asked_lines, "name long, text string").join(asked, "name", "left_semi").dropDuplicates(["name"])
     texts = scratch.store(texts, "texts")
-    links = scratch.store(similar_links(members, texts, decoded_hashes, SIMILARITY, n), "links")
+    low = C.components(similar_links(members, texts, decoded_hashes, SIMILARITY, n), scratch)
     scratch.drop(texts)
     scratch.drop(members)
-    return C.components(links, scratch)
+    return low
 
 
 def others(group: np.ndarray, ids: np.ndarray, keys: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -339,7 +339,7 @@ def surplus_lines(src: DataFrame, scratch: C.Scratch) -> DataFrame:
     gone = C.mapped(roots, first_of_classes(n), PACKED)
     for t in (placed, named):
         gone = gone.unionByName(t.where(F.col("kind") == GONE))
-    out = scratch.store(C.mapped(gone.repartition(n, "bucket"), by_document, "doc_id long, rk long, gone array<int>"), "gone")
+    out = scratch.store(C.mapped(gone.repartition(n, "bucket"), by_document, "doc_id long, rk long, gone array<int>"), "gone", few=True)
     for t in (placed, named, low):
         scratch.drop(t)
     return out

@@ -197,7 +197,7 @@ def pack(docs: DataFrame, limit: int = LIMIT, end_id: int = END_ID, path: str =
     scratch = C.Scratch(spark, "packing")
     n = C.partitions(spark)
     cut = scratch.store(pieces(docs, limit, end_id, path).withColumn("share", F.pmod(F.xxhash64("rk", "piece"), F.lit(n)).cast("int")), "pieces")
-    each = scratch.store(cut.groupBy("length", "share").agg(F.count("*").alias("n")), "counts")
+    each = scratch.store(cut.groupBy("length", "share").agg(F.count("*").alias("n")), "counts", few=True)
     # At most `limit` rows, one for each length.
     counts = {r.length: r.n for r in each.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     table = places(plan(counts, limit))
