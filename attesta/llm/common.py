@@ -7,6 +7,7 @@ give equal results on each row.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -18,7 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NULL_ID = -(2**63)
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is stored, shuffle files go as soon as it stands, not when the driver happens to collect its garbage, and
+#: rows go to Python workers in batches that stay small where rows are whole texts.
+STORING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 _own_dirs: dict[str, str] = {}
 
 
@@ -47,13 +50,14 @@ class Scratch:
         if few:
             df = df.coalesce(max(1, partitions(self.spark) // 4))
         path = f"{self.root}/{self.n:03d}-{name}"
-        # Shuffle files go as soon as the table stands, not when the driver happens to collect its garbage.
-        before = self.spark.conf.get(CLEANUP, None)
-        self.spark.conf.set(CLEANUP, "true")
+        before = {k: self.spark.conf.get(k, None) for k in STORING}
+        for k, v in STORING.items():
+            self.spark.conf.set(k, v)
         try:
             df.write.option("compression", "zstd").parquet(path)
         finally:
-            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
+            for k, v in before.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._attesta_path = path
         return out
@@ -77,8 +81,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Return memory that has been freed to the system: Python workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def mapped(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
+    def run(batches):
+        yield from f(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

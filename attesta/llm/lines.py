@@ -188,7 +188,7 @@ def link_lines(src: DataFrame, scratch: C.Scratch) -> DataFrame:
     dealt = C.mapped(src.select("text"), signatures(SLICES * n), PACKED).repartition(n, "bucket").sortWithinPartitions("bucket")
     every = C.mapped(dealt, candidates, "group long, name long, seen int, size long")
     # The same lines share several bands; groups of equal lines are one.
-    members = scratch.store(every.groupBy("group", "name").agg(F.max("seen").alias("seen"), F.max("size").alias("size")), "members")
+    members = scratch.store(every.groupBy("group", "name").agg(F.max("seen").alias("seen"), F.max("size").alias("size")), "members", few=True)
     asked = members.select("name").distinct()
     known = Asked(asked)
 
@@ -334,7 +334,7 @@ def surplus_lines(src: DataFrame, scratch: C.Scratch) -> DataFrame:
     low = link_lines(src, scratch)
     placed = scratch.store(C.mapped(src, place_lines(n), PACKED), "places")
     names = placed.where(F.col("kind") == PLACE).unionByName(C.mapped(low, send_classes(n), PACKED))
-    named = scratch.store(C.mapped(names.repartition(n, "bucket"), first_of_names(n), PACKED), "firsts")
+    named = scratch.store(C.mapped(names.repartition(n, "bucket"), first_of_names(n), PACKED), "firsts", few=True)
     roots = named.where(F.col("kind") == ROOT).repartition(n, "bucket")
     gone = C.mapped(roots, first_of_classes(n), PACKED)
     for t in (placed, named):
