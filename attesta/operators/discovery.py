@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .lifecycle import new_ids
 
 SIZE_HINT = r"(?iuU)(\d{1,3}(?:[.,]\d{3})*|\d+)\s*(şube|restoran|mağaza|lokasyon|noktada|yemek\s*/\s*gün|öğün)"
 
@@ -44,20 +45,16 @@ def tri_state(df: DataFrame, flag: str = "size_in_range") -> DataFrame:
 def promote(entries: DataFrame, leads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """New leads, and entries whose domain has to be looked up. entries: pos, entity, source, url, count, unit, domain, size_in_range.
 
-    Entries out of range stay out. Ids are slugs; one that is taken gets -2, -3 and so on, counted over leads and entries.
+    Entries out of range stay out. Ids are slugs; one that is taken gets the first free of -2, -3 and so on, among leads and entries.
     """
     fit = entries.where("size_in_range is null or size_in_range")
     unknown = fit.where("coalesce(domain, '') = ''").select("pos", "entity")
     new = fit.where("coalesce(domain, '') <> ''").join(leads.select("domain").distinct(), "domain", "left_anti")
     new = new.withColumn("n", F.row_number().over(Window.partitionBy("domain").orderBy("pos"))).where("n = 1").drop("n")
-    new = new.withColumn("slug", X.slug("entity"))
-    taken = leads.select(F.regexp_replace("id", r"-\d+\z", "").alias("slug")).groupBy("slug").agg(F.count("*").alias("taken"))
-    taken = taken.join(leads.select(F.col("id").alias("slug")).distinct(), "slug", "left_semi")
-    number = F.row_number().over(Window.partitionBy("slug").orderBy("pos")) + F.coalesce("taken", F.lit(0))
-    new = new.join(taken, "slug", "left").withColumn("number", number)
+    new = new_ids(new, "entity", leads.select("id"))
     hint = F.when(F.coalesce(F.col("count"), F.lit(0)) != 0, F.concat_ws(" ", F.col("count").cast("string"), "unit")).otherwise("size not stated")
     return new.select(
-        "pos", F.when(F.col("number") > 1, F.concat_ws("-", "slug", F.col("number").cast("string"))).otherwise(F.col("slug")).alias("id"), F.col("entity").alias("name"), "domain",
+        "pos", "id", F.col("entity").alias("name"), "domain",
         F.lit("candidate").alias("status"), F.concat(F.lit("directory ("), "source", F.lit("): "), hint, F.lit(" (a hint, no evidence)")).alias("discovery_note"), F.col("url").alias("discovery_url"),
     ), unknown
 
@@ -94,3 +91,12 @@ def screen(leads: DataFrame, crawls: DataFrame, pages: DataFrame, failures: Data
         "lead", "name", F.coalesce("ok_pages", F.lit(0)).cast("long").alias("ok_pages"), F.coalesce("page_types", none).alias("page_types"), F.coalesce("size_mentions", none).alias("size_mentions"),
         F.coalesce(emails, none).alias("emails"), F.coalesce(F.array_contains("page_types", "team"), F.lit(False)).alias("has_team_page"), error.alias("error"),
     )
+
+
+def wanted_listings(catalogue: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Listings of the catalogue (id and more) that a profile asks for (pos, id), with pos. An unknown id is an error, and so is asking for none."""
+    if not wanted.limit(1).count():
+        raise ValueError("the profile asks for no listings")
+    own = catalogue.withColumn("there", F.lit(True))
+    unknown = F.raise_error(F.concat(F.lit("unknown listing: "), F.coalesce("id", F.lit("null")))).cast("boolean")
+    return wanted.join(own, "id", "left").withColumn("there", F.coalesce("there", unknown)).where("there").drop("there")

@@ -99,10 +99,27 @@ def repair(snapshots: DataFrame) -> DataFrame:
     return snapshots.select("id", state.alias("state"), F.when(state == "repaired", fixed).otherwise(read).alias("text"), F.when(state == "repaired", F.sha2(fixed, 256)).otherwise(F.col("sha256")).alias("sha256"))
 
 
-def new_ids(df: DataFrame, name: str = "name") -> DataFrame:
-    """Slugs as ids; the second of a slug gets -2. In order of pos."""
-    n = F.row_number().over(Window.partitionBy("slug").orderBy("pos"))
-    return df.withColumn("slug", X.slug(name)).withColumn("id", F.when(n > 1, F.concat_ws("-", "slug", n.cast("string"))).otherwise(F.col("slug"))).drop("slug")
+def new_ids(df: DataFrame, name: str = "name", ids: DataFrame | None = None) -> DataFrame:
+    """Slugs as ids; of a slug that is taken or comes again the next gets the first free of -2, -3 and so on, in order of pos.
+
+    ids: (id) that are taken. A slug among the new ones that reads like another with a number takes that number too.
+    """
+    df = df.withColumn("slug", X.slug(name))
+    known = df.select(F.col("slug").alias("id")).distinct()
+    # Numbers that are taken of each slug: 1 stands for the slug itself, which the first of the new ones may have.
+    parted = lambda t: t.select(F.regexp_extract("id", r"\A(.*)-(\d{1,9})\z", 1).alias("slug"), F.regexp_extract("id", r"\A(.*)-(\d{1,9})\z", 2).try_cast("int").alias("number")).where("number >= 2")
+    taken = parted(known)
+    if ids is not None:
+        taken = taken.unionByName(parted(ids)).unionByName(ids.select(F.col("id").alias("slug"), F.lit(1).alias("number")))
+    taken = taken.distinct().join(known.select(F.col("id").alias("slug")), "slug", "left_semi")
+    # The k-th free number is k and one for each taken number t with fewer than k free ones below it; there are t - i, t being the i-th.
+    free = taken.select("slug", (F.col("number") - F.row_number().over(Window.partitionBy("slug").orderBy("number"))).alias("before"))
+    rows = df.withColumn("k", F.row_number().over(Window.partitionBy("slug").orderBy("pos")))
+    marks = rows.select("slug", "k", F.struct(*df.columns).alias("row")).unionByName(free.select("slug", (F.col("before") + 1).alias("k"), F.lit(None).alias("row")), allowMissingColumns=True)
+    order = Window.partitionBy("slug").orderBy("k", F.col("row").isNotNull())
+    number = F.col("k") + F.count_if(F.col("row").isNull()).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = marks.withColumn("number", number).where("row is not null").select("row.*", "number")
+    return out.withColumn("id", F.when(F.col("number") > 1, F.concat_ws("-", "slug", F.col("number").cast("string"))).otherwise(F.col("slug"))).drop("slug", "number")
 
 
 def fetched_on(c: str = "fetched_at"):

@@ -264,23 +264,15 @@ SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION
 def bm25_topk(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("pos"), "text")
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("text"))
-    all_ = kb.search(docs, asked, None).withColumn("score", F.round("score", 6))
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    return all_.withColumn("rank", rank).where("rank <= 5").select("query_id", "doc_id", "score", "rank")
+    return kb.search(docs, asked, 5, digits=6).select("query_id", "doc_id", "score", "rank")
 
 
 @query("bm25_topk_whole", SQL["bm25_topk"].replace("array_to_string(string_split(text, ' ')[1:4], ' ')", "text"))
 def bm25_topk_whole(spark, sf_dir):
     """bm25_topk asks for the first four words of each item, as its SQL does; this for the whole item."""
-    from pyspark.sql import Window
-
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("pos"), "text")
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    all_ = kb.search(docs, asked, None).withColumn("score", F.round("score", 6))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    return all_.withColumn("rank", rank).where("rank <= 5").select("query_id", "doc_id", "score", "rank")
+    return kb.search(docs, asked, 5, digits=6).select("query_id", "doc_id", "score", "rank")
 
 
 @query("size_prescreen", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_size BETWEEN 5 AND 20 WHEN 1 THEN p_size <= 30 END AS in_range FROM part")
@@ -397,3 +389,92 @@ def claim_merge(spark, sf_dir):
 def draft_upsert(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("lead"), F.col("c_custkey").alias("pos"))
     return lifecycle.upsert_drafts(c.withColumn("body", F.lit("old")), c.where("lead % 4 = 0").withColumn("body", F.lit("new"))).select("lead", "body", F.col("pos").cast("long").alias("pos"))
+
+
+PART_SLUG_SQL = "substr(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-'), 1, 40)"
+
+
+@query("new_lead_ids", f"SELECT p_partkey AS pos, slug || CASE WHEN n > 1 THEN '-' || n ELSE '' END AS id FROM (SELECT p_partkey, {PART_SLUG_SQL} AS slug, row_number() OVER (PARTITION BY {PART_SLUG_SQL} ORDER BY p_partkey) AS n FROM part)")
+def new_lead_ids(spark, sf_dir):
+    return lifecycle.new_ids(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), F.col("p_name").alias("name"))).select("pos", "id")
+
+
+@query("promote_gaps", f"""
+SELECT p_partkey AS pos, slug || '-' || CASE WHEN n = 1 THEN 2 ELSE n + 3 END AS id
+FROM (SELECT p_partkey, {PART_SLUG_SQL} AS slug, row_number() OVER (PARTITION BY {PART_SLUG_SQL} ORDER BY p_partkey) AS n FROM part)""")
+def promote_gaps(spark, sf_dir):
+    """Each slug is taken already, with -3 and -4 but without -2."""
+    part = table(spark, sf_dir, "part")
+    e = part.select(
+        F.col("p_partkey").alias("pos"), F.col("p_name").alias("entity"), F.lit("list").alias("source"), F.lit("https://list.example").alias("url"), F.lit(None).cast("long").alias("count"), F.lit("şube").alias("unit"),
+        F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(".example")).alias("domain"), F.lit(None).cast("boolean").alias("size_in_range"),
+    )
+    ids = part.select(X.slug("p_name").alias("slug")).distinct().select(F.explode(F.transform(F.array(*map(F.lit, ["", "-3", "-4"])), lambda x: F.concat("slug", x))).alias("id"))
+    return discovery.promote(e, ids.withColumn("domain", F.concat("id", F.lit(".example"))))[0].select("pos", "id")
+
+
+@query("site_states", """
+SELECT page_id, CASE WHEN regexp_matches(t, '(?i)suspendedpage|account[-_ ]suspended|domain[-_ ]?(is )?for[-_ ]sale|parkingcrew|sedoparking') THEN 'parked'
+  WHEN regexp_matches(t, '(?i)/maintenance|/bakim|bakımdayız|under maintenance') THEN 'closed' END AS state
+FROM (SELECT page_id, url || ' ' || substr(CASE page_id % 4 WHEN 0 THEN 'This Domain is for sale ' WHEN 1 THEN 'UNDER MAINTENANCE' WHEN 2 THEN repeat('x', 490) || ' parkingcrew' ELSE '' END || html, 1, 500) AS t FROM pages)""")
+def site_states(spark, sf_dir):
+    start = F.element_at(F.array(F.lit("This Domain is for sale "), F.lit("UNDER MAINTENANCE"), F.lit("x" * 490 + " parkingcrew"), F.lit("")), (F.col("page_id") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", urls.site_state(F.col("url"), F.concat(start, "html")).alias("state"))
+
+
+@query("reviews_set", """
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'pass' ELSE 'fail' END ELSE 'old' END AS verdict,
+  CASE WHEN doc_id % 3 = 0 THEN sha256('to' || doc_id || chr(31) || 'email' || chr(31) || coalesce(source, '') || chr(31) || text) ELSE 'old' END AS draft_sha,
+  CASE WHEN doc_id % 6 = 3 THEN 'tone' ELSE '' END AS issues FROM documents""")
+def reviews_set(spark, sf_dir):
+    """New verdicts on one draft in three; the others keep theirs."""
+    i = F.col("doc_id")
+    none = F.array().cast("array<string>")
+    d = table(spark, sf_dir, "documents").select("doc_id", i.cast("string").alias("lead"), F.concat(F.lit("to"), i.cast("string")).alias("to"), F.lit("email").alias("channel"), F.col("source").alias("subject"), F.col("text").alias("body"), F.struct(F.lit("old").alias("verdict"), none.alias("issues"), F.lit("old").alias("draft_sha")).alias("review"))
+    r = d.where(i % 3 == 0).select("lead", F.when(i % 2 == 0, "pass").otherwise("fail").alias("verdict"), F.when(i % 2 == 1, F.array(F.lit("tone"))).otherwise(none).alias("issues"))
+    return drafts.set_review(d, r).select("doc_id", "review.verdict", "review.draft_sha", F.array_join("review.issues", " ").alias("issues"))
+
+
+@query("verification_summary", "SELECT count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'F') AS verified, count(*) FILTER (WHERE o_orderstatus = 'P') AS retracted, count(*) FILTER (WHERE o_orderstatus = 'O') AS rejected FROM orders")
+def verification_summary(spark, sf_dir):
+    names = F.create_map(*(F.lit(x) for x in ("F", "verified", "P", "retracted", "O", "rejected")))
+    return K.summary(table(spark, sf_dir, "orders").select(F.try_element_at(names, F.col("o_orderstatus")).alias("status")))
+
+
+SPIDER_SQL = f"""SELECT page_id, {HOST_SQL} AS domain, url, ['about', 'press', 'contact', 'other'][page_id % 4 + 1] AS type, CASE page_id % 10 WHEN 0 THEN 404 WHEN 1 THEN 403 ELSE 200 END AS status,
+  CASE WHEN page_id % 3 = 0 THEN 'http' ELSE 'browser' END AS method, CASE WHEN page_id % 5 = 0 THEN substr(html, 1, 100) ELSE html END AS text FROM pages"""
+
+
+def spider_pages(spark, sf_dir) -> DataFrame:
+    i = F.col("page_id")
+    kind = F.element_at(F.array(*map(F.lit, ["about", "press", "contact", "other"])), (i % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select(
+        X.url_host("url").alias("domain"), i.alias("snapshot"), kind.alias("type"), "url", F.when(i % 10 == 0, 404).when(i % 10 == 1, 403).otherwise(200).alias("status"),
+        F.when(i % 3 == 0, "http").otherwise("browser").alias("method"), F.when(i % 5 == 0, F.substring("html", 1, 100)).otherwise(F.col("html")).alias("text"), (i % 2 == 0).alias("has_full"),
+    )
+
+
+@query("spider_pages", f"""
+SELECT page_id AS snapshot, state, CASE WHEN state = 'saved' THEN length(text) >= 150 END AS ok, CASE WHEN state = 'saved' THEN length(text) END::INT AS chars, CASE WHEN state = 'saved' THEN page_id % 2 = 0 END AS has_hidden_layer,
+  CASE type WHEN 'about' THEN 0 WHEN 'press' THEN 4 WHEN 'contact' THEN 6 ELSE -1 END AS place
+FROM (SELECT *, CASE WHEN status <> 200 THEN 'failed' WHEN length(text) < 150 AND method = 'http' THEN 'render' ELSE 'saved' END AS state FROM ({SPIDER_SQL}))""")
+def spider_page_rows(spark, sf_dir):
+    return urls.spider_rows(spider_pages(spark, sf_dir)).select("snapshot", "state", "ok", "chars", "has_hidden_layer", "place")
+
+
+@query("crawl_summary", f"""
+WITH p AS (SELECT *, CASE WHEN status <> 200 THEN 'failed' WHEN length(text) < 150 AND method = 'http' THEN 'render' ELSE 'saved' END AS state FROM ({SPIDER_SQL}))
+SELECT domain, count(*) FILTER (WHERE state = 'saved') AS n_pages, count(*) FILTER (WHERE state = 'saved' AND length(text) >= 150) AS n_ok, count(*) FILTER (WHERE status = 404) AS n_failed, count(*) FILTER (WHERE status = 403) AS n_blocked,
+  count(*) FILTER (WHERE page_id % 7 = 0) AS n_robots FROM p GROUP BY domain""")
+def crawl_summary(spark, sf_dir):
+    pages = spider_pages(spark, sf_dir)
+    rows = urls.spider_rows(pages).join(pages.select("snapshot", (F.col("status") == 403).alias("blocked")), "snapshot")
+    return urls.crawl_summary(rows, pages.where(F.col("snapshot") % 7 == 0).select("domain"))
+
+
+@query("wanted_listings", "SELECT s_suppkey AS pos, 'l' || s_suppkey AS id, s_name AS url FROM supplier WHERE s_suppkey % 3 = 0")
+def wanted_listings(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    catalogue = s.select(F.concat(F.lit("l"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("url"))
+    wanted = s.where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("pos"), F.concat(F.lit("l"), F.col("s_suppkey").cast("string")).alias("id"))
+    return discovery.wanted_listings(catalogue, wanted).select("pos", "id", "url")
