@@ -203,7 +203,7 @@ def link_lines(src: DataFrame, scratch: C.Scratch) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.string())], ["name", "text"])
 
     texts = C.mapped(src.select("text"), asked_lines, "name long, text string").join(asked, "name", "left_semi").dropDuplicates(["name"])
-    texts = scratch.store(texts, "texts")
+    texts = scratch.store(texts, "texts", few=True)
     low = C.components(similar_links(members, texts, decoded_hashes, SIMILARITY, n), scratch)
     scratch.drop(texts)
     scratch.drop(members)
