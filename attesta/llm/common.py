@@ -22,6 +22,8 @@ NULL_ID = -(2**63)
 #: While a table is stored, shuffle files go as soon as it stands, not when the driver happens to collect its garbage, and
 #: rows go to Python workers in batches that stay small where rows are whole texts.
 STORING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+#: On a shared folder that is mounted as files, no checksum file and no chmod process for each file. Other stores don't read these.
+MOUNTED = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 _own_dirs: dict[str, str] = {}
 
 
@@ -54,7 +56,7 @@ class Scratch:
         for k, v in STORING.items():
             self.spark.conf.set(k, v)
         try:
-            df.write.option("compression", "zstd").parquet(path)
+            df.write.options(compression="zstd", **MOUNTED).parquet(path)
         finally:
             for k, v in before.items():
                 self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
