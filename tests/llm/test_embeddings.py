@@ -4,7 +4,8 @@ from attesta.llm import embeddings
 
 
 def test_op1_matches_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(embeddings, "GROUP", 100)
+    monkeypatch.setattr(embeddings, "GROUP_BYTES", 100 * 48)
+    monkeypatch.setattr(embeddings, "HELD_LINKS", 50)
     monkeypatch.setattr(embeddings, "TILE", 16)
     r = np.random.default_rng(2)
     centers = r.normal(size=(12, 24))
@@ -40,3 +41,33 @@ def test_float_input_and_empty(spark):
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(df).collect()}
     assert got == {1: (1, 1, True), 2: (1, 1, False), None: (0, None, True)}
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_repeated_ids_are_judged_by_their_own_vectors(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(5, a), (5, b), (5, a), (8, [1.0, 0.01, 0.0]), (3, [0.0, 1.0, 0.01]), (9, [0.0, 0.0, 1.0]), (9, [0.0, 0.0, 1.0]), (None, [0.0, 0.01, 1.0])]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    want = [(5, 2, 5, True), (5, 1, 3, False), (5, 2, 5, True), (8, 2, 5, False), (3, 1, 3, True), (9, 2, None, False), (9, 2, None, False), (None, 2, None, True)]
+    assert sorted(map(str, ((r.vec_id, r.n_links, r.component_id, r.kept) for r in got))) == sorted(map(str, want))
+
+
+def test_bounds_hold_and_both_passes_agree():
+    """Pairs near the threshold: codes prove only what double precision says, and each pair is settled in one pass."""
+    r = np.random.default_rng(4)
+    center = r.normal(size=48)
+    raw = np.stack([center + r.normal(size=48) * s for s in np.repeat([0.15, 0.22, 0.3], 70)] + [r.normal(size=48) for _ in range(20)])
+    codes, scale, error = embeddings.quantised(raw)
+    unit = embeddings.units(raw)
+    cosine = unit @ unit.T
+    n, ids = np.ones(len(raw), np.int64), np.arange(len(raw))
+    first = embeddings.compare(embeddings.Block(ids, n, codes, scale, error), None, 0.95, 32)
+    some = r.permutation(first[0][first[3]])
+    second = embeddings.compare(embeddings.Block(some, n[some], codes[some], scale[some], error[some], unit[some]), None, 0.95, 17)
+    links = np.zeros(len(raw), np.int64)
+    for found in (first, second):
+        links[found[0]] += found[1]
+    assert 0 < len(some) < len(raw) and (links == (cosine >= 0.95).sum(axis=1) - 1).all()
+    x = embeddings.Block(ids, n, codes, scale, error)
+    i, j, sure = embeddings.judged(x, x, slice(0, len(raw)), slice(0, len(raw)), 0.95)
+    assert sure.any() and not sure.all() and (cosine[i[sure], j[sure]] >= 0.95).all()
+    assert set(zip(*np.nonzero(cosine >= 0.95))) <= set(zip(i, j))
