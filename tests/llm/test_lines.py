@@ -34,3 +34,12 @@ def test_empty_and_repeated(spark):
     df = spark.createDataFrame([(1, "a line"), (1, "a line"), (None, "other\na line")], "doc_id long, text string")
     got = sorted((x.doc_id or 0, x.kept_text) for x in lines.dedup_lines(df).collect())
     assert got == [(0, "other\na line"), (1, ""), (1, "")]
+
+
+def test_huge_lines(spark):
+    r = random.Random(4)
+    huge = " ".join(f"w{r.randrange(10**6)}" for _ in range(120_000))
+    near = huge.replace("w1", "v1", 40)
+    texts = [huge, "short line\n" + near, huge + "\nshort line", "z" * 1_000_000]
+    got = {x.doc_id: (x.n_removed, x.kept_text) for x in lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: (0, huge), 1: (1, "short line"), 2: (2, ""), 3: (0, texts[3])}

@@ -76,3 +76,30 @@ def test_toxicity_learns_only_from_its_share(spark, tmp_path):
     none = toxicity.score_toxicity(docs, labels.limit(0)).collect()
     assert len(none) == len(first) and all(r.score == 0 for r in none)
     assert toxicity.score_toxicity(docs.limit(0), labels).count() == 0
+
+
+def test_empty_tables(spark, tmp_path):
+    tables(spark, str(tmp_path))
+    full = {t: spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("documents", "labels", "benchmark")}
+    for gone in ([*full], ["labels", "benchmark"]):
+        place = f"{tmp_path}/without-{len(gone)}"
+        for t, df in full.items():
+            (df.limit(0) if t in gone else df).write.parquet(f"{place}/{t}.parquet")
+        out = cp.run(spark, place)
+        n = out.select("doc_id").distinct().count()
+        assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns) and (n == 0 if "documents" in gone else n >= 160)
+
+
+def test_null_and_repeated_ids(spark, tmp_path):
+    tables(spark, str(tmp_path))
+    words = lambda n: " ".join(f"q{n}x{k}" for k in range(40))
+    more = [(None, words(1), None, None, None), (500, words(2), "en", "s", 1), (500, words(2), "en", "s", 1), (500, words(3), "en", "s", 1), (None, None, None, None, None)]
+    docs = common.table(spark, str(tmp_path), "documents").unionByName(spark.createDataFrame(more, "doc_id long, text string, lang string, source string, n_chars long"))
+    docs = docs.withColumn("score", F.lit("x")).withColumn("rk", F.lit(1)).withColumn("item_ids", F.lit(2))
+    scratch = common.Scratch(spark, "test")
+    for name, stage in cp.STAGES[:4]:
+        docs = scratch.store(stage(spark, docs, str(tmp_path)), name)
+    left = sorted((r.doc_id or 0, r.text) for r in docs.collect() if r.doc_id in (None, 500))
+    assert (0, words(1)) in left and [x for x in left if x[0] == 500 and x[1] == words(3)] == [(500, words(3))]
+    assert sum(x == (500, words(2)) for x in left) <= 1
+    assert {"doc_id", "piece"} <= set(cp.pack(spark, docs, str(tmp_path)).columns)

@@ -89,3 +89,10 @@ def test_close_pairs_forms_agree():
 
 def test_empty(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    rows = [(None, "One two three four"), (4, "one two three four"), (4, "one two three four"), (4, "something else here"), (2, None), (7, ""), (3, "Something  else here")]
+    got = sorted((x.doc_id or 0, x.fingerprint, x.component_id) for x in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    a, b, z = (f"{slow_fingerprint(t):016x}" for t in ("one two three four", "something else here", ""))
+    assert got == sorted([(0, a, None), (4, a, None), (4, a, None), (4, b, 3), (3, b, 3), (2, z, 2), (7, z, 2)], key=lambda x: x[:2])
