@@ -3,7 +3,9 @@
 Learns from texts confirmed as toxic and from texts of which nothing is known, by the risk
     prior * E_P[l(f, 1)] + max(0, E_U[l(f, 0)] - prior * E_P[l(f, 0)])
 with logistic loss l; where the bracket falls below zero the step goes uphill on it (Kiryo et al., 2017). f is linear in the
-presence of features chosen by how much more often P has them than U. Only the text is an input of the score.
+presence of features chosen by how much more often P has them than U. Each step sees the whole sample: a batch of some
+hundred texts holds so few unknown toxic ones that its bracket is below zero by chance, and such steps undo what the others
+have learnt. Only the text is an input of the score.
 
 Rows to learn from are those whose crc32 of doc_id as text is not 0 modulo 5. The sample is bounded: about POSITIVES
 confirmed and UNLABELLED other ids, picked by a hash, of which each gives one text (rows that repeat an id give that with the
@@ -27,7 +29,7 @@ POSITIVES, UNLABELLED, FEATURES, CANDIDATES = 4000, 12000, 16384, 131072
 LEAST_SEEN = 5
 LIFT = 1.5
 BEGINNINGS = (4, 5, 6)
-EPOCHS, BATCH, RATE, DECAY = 30, 512, 0.02, 1e-4
+STEPS, RATE, DECAY = 200, 0.05, 1e-4
 
 #: Bytes that are no part of a word: ASCII but letters and digits.
 BREAK = np.zeros(256, bool)
@@ -96,10 +98,15 @@ def gradient(w: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndar
 
     Above zero it is the gradient of the risk, below it that of the bracket, turned round: the step goes uphill on it.
     """
+    return slope_of(w, stacked(positive), stacked(unlabelled), prior)
+
+
+def slope_of(w: np.ndarray, positive: tuple, unlabelled: tuple, prior: float) -> tuple[np.ndarray, bool]:
+    """The same for texts that have been stacked."""
     n = len(w) - 1
     out = np.zeros(n + 1)
-    doc_p, at_p, k_p = stacked(positive)
-    doc_u, at_u, k_u = stacked(unlabelled)
+    doc_p, at_p, k_p = positive
+    doc_u, at_u, k_u = unlabelled
     f_p, f_u = np.bincount(doc_p, w[at_p], k_p) + w[n], np.bincount(doc_u, w[at_u], k_u) + w[n]
 
     def add(doc, at, slope):
@@ -116,24 +123,18 @@ def gradient(w: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndar
     return out, below
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], n: int, prior: float, seed: int = 0) -> tuple[np.ndarray, float]:
-    """Weights and offset that minimise the non-negative risk, by Adam on mixed batches."""
-    r = np.random.default_rng(seed)
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], n: int, prior: float) -> tuple[np.ndarray, float]:
+    """Weights and offset that minimise the non-negative risk of the sample, by Adam."""
     w = np.zeros(n + 1)
     w[n] = np.log(prior / (1 - prior))
-    m, v, t = np.zeros(n + 1), np.zeros(n + 1), 0
-    steps = max(1, -(-(len(positive) + len(unlabelled)) // BATCH))
-    for _ in range(EPOCHS):
-        parts = [np.array_split(r.permutation(len(x)), steps) for x in (positive, unlabelled)]
-        for p, u in zip(*parts, strict=True):
-            if not len(p) or not len(u):
-                continue
-            g, _ = gradient(w, [positive[i] for i in p], [unlabelled[i] for i in u], prior)
-            g[:n] += DECAY * w[:n]
-            t += 1
-            m = 0.9 * m + 0.1 * g
-            v = 0.999 * v + 0.001 * g * g
-            w = w - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    m, v = np.zeros(n + 1), np.zeros(n + 1)
+    p, u = stacked(positive), stacked(unlabelled)
+    for t in range(1, STEPS + 1):
+        g, _ = slope_of(w, p, u, prior)
+        g[:n] += DECAY * w[:n]
+        m = 0.9 * m + 0.1 * g
+        v = 0.999 * v + 0.001 * g * g
+        w = w - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w[:n], float(w[n])
 
 

@@ -93,3 +93,13 @@ def test_empty_and_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [(r.score, r.predicted) for r in T.score_toxicity(docs, none).collect()] == [(0.0, 0)] * 2
     assert T.score_toxicity(docs.limit(0), spark.createDataFrame([(2, 1)], "doc_id long, toxic int")).count() == 0
+
+
+def test_fit_finds_texts_with_few_rude_words():
+    """Ten rude words, never in clean texts, one to eight in a toxic one; a tenth of the unlabelled texts are toxic."""
+    r = np.random.default_rng(5)
+    toxic = lambda k: [np.unique(np.append(r.integers(0, 10, r.integers(1, 9)), 10 + r.integers(0, 200, 3))) for _ in range(k)]
+    clean = lambda k: [np.unique(10 + r.integers(0, 200, 3)) for _ in range(k)]
+    w, offset = T.fit(toxic(2000), toxic(1000) + clean(9000), 210, 0.1)
+    hit = lambda rows: np.mean([w[x].sum() + offset >= 0 for x in rows])
+    assert hit(toxic(2000)) >= 0.85 and hit(clean(2000)) <= 0.02
