@@ -264,11 +264,67 @@ class Absent:
         return out
 
 
+class Sequences:
+    """The longest common subsequences of many candidates at a time, one number of 64 bits for each.
+
+    For items of at most 64 words; the others are left to common_subsequence.
+    """
+
+    MOST, AT_ONCE = 64, 4096
+
+    def __init__(self, items: list[list[int]]):
+        self.size = np.array([len(x) for x in items])
+        self.known = np.unique(np.concatenate([np.array(x, np.uint64) for x in items]))
+        at: dict[int, int] = {}
+        for i, x in enumerate(items):
+            if len(x) <= self.MOST:
+                for j, word in enumerate(np.searchsorted(self.known, np.array(x, np.uint64)).tolist()):
+                    at[i * len(self.known) + word] = at.get(i * len(self.known) + word, 0) | 1 << j
+        # Where each item has each of its words.
+        self.pairs = np.array(sorted(at), np.int64)
+        self.bits = np.array([at[x] for x in sorted(at)], np.uint64)
+
+    def words(self, codes: np.ndarray) -> np.ndarray:
+        """The place among the words of all items, or -1."""
+        at = np.minimum(np.searchsorted(self.known, codes), len(self.known) - 1)
+        return np.where(self.known[at] == codes, at, -1)
+
+    def lengths(self, words: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """For each candidate the length in words[lo:hi]; the item's own where it is too long to tell."""
+        out = self.size[item]
+        short = np.flatnonzero(out <= self.MOST)
+        for i in range(0, len(short), self.AT_ONCE):
+            own = short[i : i + self.AT_ONCE]
+            out[own] = self._lengths(words, item[own], lo[own], hi[own])
+        return out
+
+    def _lengths(self, words, item, lo, hi):
+        n = hi - lo
+        first = np.cumsum(n) - n
+        of = np.repeat(np.arange(len(n)), n)
+        word = words[np.arange(len(of)) - np.repeat(first - lo, n)]
+        of, word = of[word >= 0], word[word >= 0]
+        key = item[of] * len(self.known) + word
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        hit = self.pairs[at] == key
+        of, bits = of[hit], self.bits[at[hit]]
+        # Words of the region that the item has, in order: a step of all candidates for each.
+        seen = np.bincount(of, minlength=len(n))
+        steps = np.zeros((int(seen.max(initial=0)), len(n)), np.uint64)
+        steps[np.arange(len(of)) - np.repeat(np.cumsum(seen) - seen, seen), of] = bits
+        full = np.uint64(2**64 - 1) >> (self.MOST - self.size[item]).astype(np.uint64)
+        v = full.copy()
+        for m in steps:
+            u = v & m
+            v = ((v + u) | (v - u)) & full
+        return self.size[item] - np.bitwise_count(v)
+
+
 def search(terms: Terms, embed: np.ndarray, rows: np.ndarray, items: list[list[int]], keep: tuple[str, ...]):
     """Documents to themselves, with the items that they hold added to those found before (columns FOUND)."""
 
     def run(batches):
-        absent = Absent(items)
+        absent, sequences = Absent(items), Sequences(items)
         for own, data, offs in texts_of(batches, *keep, *FOUND):
             *own, known, part = own
             term, block, doc, first, codes, cuts = blocks_of(terms, data, offs)
@@ -295,13 +351,15 @@ def search(terms: Terms, embed: np.ndarray, rows: np.ndarray, items: list[list[i
                     bits = word_bits(codes, first[of] + (word - cuts[of]) // BLOCK, len(doc))
                     good = absent.keep(bits, p, k)
                     p, k = p[good], k[good]
-                for i, x in zip(p.tolist(), k.tolist(), strict=True):
-                    d = int(doc[i])
+                # The surroundings of each candidate, and only those that hold enough of the item in order.
+                of, m = doc[p], sequences.size[k]
+                at = cuts[of] + (p - first[of]) * BLOCK
+                lo, hi = np.maximum(cuts[of], at - m), np.minimum(cuts[of + 1], at + 2 * BLOCK + m)
+                enough = np.flatnonzero(sequences.lengths(sequences.words(codes), k, lo, hi) >= PERHAPS * m) if len(p) else []
+                for d, x, a, b in zip(*(y[enough].tolist() for y in (of, k, lo, hi)), strict=True):
                     if found[d].get(x, 0) >= 1:
                         continue
-                    at = int(cuts[d]) + (i - int(first[d])) * BLOCK
-                    m = len(items[x])
-                    region = codes[max(int(cuts[d]), at - m) : min(int(cuts[d + 1]), at + 2 * BLOCK + m)].tolist()
+                    region = codes[a:b].tolist()
                     share = holds(items[x], region)
                     if share > found[d].get(x, 0):
                         found[d][x] = share

@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from attesta.llm import decontaminate as D
 
 
@@ -117,3 +120,34 @@ def test_repeated_and_null_ids_and_long_texts(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string, share double")
     found = D.find_leaks(docs, spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()
     assert sorted((x.doc_id or 0, x.item_ids) for x in found) == [(0, [5, 6]), (1, [5]), (1, [6]), (2, []), (2, [5])]
+
+
+def test_common_subsequences_of_many_candidates():
+    r = random.Random(6)
+    code = lambda: r.randrange(1, 40) << 57 | 5
+    items = [[code() for _ in range(m)] for m in (1, 2, 5, 17, 63, 64, 64, 65, 90)]
+    words = np.array([code() if r.random() < 0.8 else r.randrange(1 << 60) for _ in range(3000)], np.uint64)
+    item, lo = (np.array([r.randrange(n) for _ in range(5000)]) for n in (len(items), 2800))
+    hi = lo + np.array([r.randrange(200) for _ in lo])
+    s = D.Sequences(items)
+    got = s.lengths(s.words(words), item, lo, hi)
+    for k, a, b, n in zip(item.tolist(), lo.tolist(), hi.tolist(), got.tolist(), strict=True):
+        x = items[k]
+        assert n == (D.common_subsequence(x, words[a:b].tolist()) if len(x) <= 64 else len(x))
+
+
+def test_search_compares_only_candidates_that_hold_enough_in_order(monkeypatch):
+    """Passages with the words of an item in another order are turned away without a search of their own."""
+    r = random.Random(7)
+    item = [f"t{k}x" for k in range(20)]
+    texts = [" ".join(r.sample(item, 20)) for _ in range(100)] + [" ".join(item)]
+    hashed = D.hashes([w.encode() for w in item]).tolist()
+    terms = D.Terms([(3, [w.encode() for w in item])])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(101)), pa.array(texts), pa.array([[]] * 101, pa.list_(pa.int64())), pa.array([0.0] * 101)], ["doc_id", "text", *D.FOUND])
+    embed = np.eye(20, dtype=np.float32)
+    calls, holds = [], D.holds
+    monkeypatch.setattr(D, "holds", lambda *a: calls.append(a) or holds(*a))
+    out = list(D.search(terms, embed, np.full((1, 20), 20**-0.5, np.float32), [hashed], ("doc_id", "text"))(iter([batch])))
+    found = [x for b in out for x in b.column(D.FOUND[0]).to_pylist()]
+    assert found[100] == [3] and len(calls) <= 10
+    assert found[:100] == [[3] if holds(hashed, D.hashes([w.encode() for w in t.split()]).tolist()) else [] for t in texts[:100]]
