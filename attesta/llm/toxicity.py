@@ -29,7 +29,8 @@ POSITIVES, UNLABELLED, FEATURES, CANDIDATES = 4000, 12000, 16384, 131072
 LEAST_SEEN = 5
 LIFT = 1.5
 BEGINNINGS = (4, 5, 6)
-STEPS, RATE, DECAY = 200, 0.05, 1e-4
+#: Steps of the fit: ROUNDS for each SHARE texts of the sample.
+ROUNDS, SHARE, RATE, DECAY = 30, 512, 0.02, 1e-4
 
 #: Bytes that are no part of a word: ASCII but letters and digits.
 BREAK = np.zeros(256, bool)
@@ -129,7 +130,8 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], n: int, prior:
     w[n] = np.log(prior / (1 - prior))
     m, v = np.zeros(n + 1), np.zeros(n + 1)
     p, u = stacked(positive), stacked(unlabelled)
-    for t in range(1, STEPS + 1):
+    steps = ROUNDS * max(1, -(-(len(positive) + len(unlabelled)) // SHARE))
+    for t in range(1, steps + 1):
         g, _ = slope_of(w, p, u, prior)
         g[:n] += DECAY * w[:n]
         m = 0.9 * m + 0.1 * g
