@@ -2,10 +2,12 @@
 
 Words are what stands between white space, ASCII letters taken as small ones, as in simhash.py; a text is the set of its
 shingles of WORDS words, by 64-bit hashes (one with fewer words is one shingle, and all texts without words are equal).
-Fingerprints of 64 bits don't find such pairs: at 0.8 they lie about ten bits apart. Candidates share one of BANDS bands of
-ROWS minimal hashes instead (a pair at 0.8 is found with 99.98 %), and all of them are verified on their sets.
+Candidates come from SimHash: fingerprints of those shingles that operator 5's search links, all pairs at 2 or fewer bits
+among them. At 0.8 two fingerprints lie about ten bits apart, which no such search reaches, so the pairs beyond its limit come
+from a second source: texts that share one of BANDS bands of ROWS minimal hashes (a pair at 0.8 is found with 99.98 %).
+Candidates of both are verified on their sets.
 
-The texts that share a band are a group, which groups.py compares: every pair of a group is compared exactly, turned away by
+The texts of a SimHash class, or that share a band, are a group, which groups.py compares: every pair of a group is compared exactly, turned away by
 a bound, or in one class without it. Texts with equal words are one node.
 
 Null texts count as empty; rows that repeat a doc_id are judged each by its text. An empty table gives no rows.
@@ -20,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from . import simhash
 from .groups import Asked, similar_links
 
 WORDS, SIMILARITY = 5, 0.8
@@ -77,7 +80,7 @@ def name_of(text: bytes) -> int:
 
 
 def signed(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id (null as the smallest long), rk, name and keys of each row."""
+    """doc_id (null as the smallest long), rk, name, keys of bands and SimHash fingerprint of each row."""
 
     def run(batches):
         for b in batches:
@@ -88,9 +91,10 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
                 h, at = shingle_hashes(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], words)
                 keys = band_keys(h, at[:-1]).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id")[i:j], b.column("rk")[i:j], names[i:j], lists], ["doc_id", "rk", "name", "keys"])
+                fps = pa.array(simhash.majorities(h, at).view(np.int64))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id")[i:j], b.column("rk")[i:j], names[i:j], lists, fps], ["doc_id", "rk", "name", "keys", "fp"])
 
-    return C.mapped(docs, run, "doc_id long, rk long, name long, keys array<long>")
+    return C.mapped(docs, run, "doc_id long, rk long, name long, keys array<long>, fp long")
 
 
 def text_key() -> Column:
@@ -113,9 +117,12 @@ def link(src: DataFrame, own: DataFrame, words: int, similarity: float, scratch:
     """(u, v): v is the least name of the class of text u, for texts that are not the least themselves."""
     n = C.partitions(scratch.spark)
     # Of a family of edited copies the text with most equal copies is the original, to which the others are close.
-    each = own.groupBy("name").agg(F.count("*").alias("seen"), F.first("keys").alias("keys"))
-    every = scratch.store(each.select("name", "seen", F.explode("keys").alias("key")), "keys", few=True)
-    # A group is named by its texts, so equal groups of several bands are one.
+    each = own.groupBy("name").agg(F.count("*").alias("seen"), F.first("keys").alias("keys"), F.first("fp").alias("fp"))
+    fps = scratch.store(own.select("fp").distinct(), "fingerprints", few=True)
+    near = simhash.linked(fps, scratch)
+    classes = each.select("name", "seen", "fp").join(near, F.col("fp") == near.u, "left").select("name", "seen", F.coalesce("v", "fp").alias("key"))
+    every = scratch.store(each.select("name", "seen", F.explode("keys").alias("key")).unionByName(classes), "keys", few=True)
+    # A group is named by its texts, so equal groups of several bands, or of a class and a band, are one.
     crowded = every.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("name")).alias("group")).where("size > 1")
     members = scratch.store(every.join(crowded, "key").groupBy("group", "name").agg(F.max("seen").alias("seen"), F.max("size").alias("size")), "members", few=True)
     asked = members.select("name").distinct()
@@ -133,6 +140,6 @@ def link(src: DataFrame, own: DataFrame, words: int, similarity: float, scratch:
 
     texts = scratch.store(C.mapped(src.select("text"), names, "name long, text string").join(asked, "name", "left_semi").dropDuplicates(["name"]), "texts", few=True)
     low = C.components(similar_links(members, texts, shingled, similarity, n), scratch)
-    for t in (every, members, texts):
+    for t in (fps, every, members, texts):
         scratch.drop(t)
     return low

@@ -39,6 +39,12 @@ def fingerprint(text: bytes, words: int = 3) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
+def majorities(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The fingerprint of each text by the hashes of its shingles, repeats included; at: where each text's begin, and the end."""
+    ones = np.add.reduceat(np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), at[:-1], axis=0, dtype=np.int32)
+    return np.packbits(ones * 2 > np.diff(at)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id (null as the smallest long), fp long."""
 
@@ -227,13 +233,9 @@ def verify(batches):
         yield from send(rest_k, rest_f)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint, component_id, for each row of docs."""
-    spark = docs.sparkSession
-    scratch = C.Scratch(spark, "simhash")
-    n = C.partitions(spark)
-    own = scratch.store(fingerprints(docs), "fingerprints")
-    each = scratch.store(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+def linked(each: DataFrame, scratch: C.Scratch) -> DataFrame:
+    """(u, v): v is the least fingerprint of the class of u, for those that are not the least. each: different fingerprints fp, stored."""
+    n = C.partitions(scratch.spark)
 
     def together(batches):
         total = np.zeros((64, 64))
@@ -264,7 +266,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     chosen, landing = thresholds(list(flat.reshape(PARTS, -1)), LIMIT)
     probes = C.mapped(each.select("fp"), probe(parts, chosen, landing), "key long, fp long")
     edges = C.mapped(probes.repartition(n, "key").sortWithinPartitions("key"), verify, "u long, v long")
-    low = C.components(edges, scratch)
+    return C.components(edges, scratch)
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint, component_id, for each row of docs."""
+    scratch = C.Scratch(docs.sparkSession, "simhash")
+    own = scratch.store(fingerprints(docs), "fingerprints")
+    each = scratch.store(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    low = linked(each, scratch)
     rooted = each.join(low, each.fp == low.u, "left").select("fp", "first", F.coalesce("v", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = scratch.store(rooted.join(least, "root").select("fp", "component_id"), "named")

@@ -1,8 +1,8 @@
 """A corpus from documents to packed sequences. Each stage reads what the one before it has kept.
 
 Documents scored as toxic go; lines that repeat, exactly or nearly, stay at their first place only, and a document that
-has lost all its lines goes; of each group of near duplicates (five-word shingles, similarity 0.8) the row with the
-smallest doc_id and hash of the text stays; documents that hold a benchmark item go; the rest is packed. All stages but the
+has lost all its lines goes; of each group of near duplicates (by SimHash, and by MinHash beyond its limit; exact similarity
+of 0.8 on five-word shingles) the row with the smallest doc_id and hash of the text stays; documents that hold a benchmark item go; the rest is packed. All stages but the
 last return the columns of documents, n_chars counted anew where the text has changed.
 
 Null texts are empty from line dedup on. Rows with a null doc_id teach the classifier nothing and are treated like others,

@@ -76,3 +76,25 @@ def test_stage_keeps_one_row_where_ids_repeat(spark):
     df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     kept = [(x.doc_id, x.text) for x in cp.drop_near_duplicates(spark, df, "").collect()]
     assert sorted(kept, key=str) == sorted([(1, a), (2, b), (4, None), (None, c)], key=str)
+
+
+def test_simhash_alone_links_what_lies_within_its_limit(spark, monkeypatch):
+    """With bands that no two texts share, pairs at 2 or fewer differing bits are found, and only if they are similar."""
+    r = random.Random(14)
+    texts = []
+    for _ in range(30):
+        base = [f"w{r.randrange(3000)}" for _ in range(r.randint(100, 500))]
+        texts += [" ".join(base), " ".join([*base[:-1], "changed"]), " ".join([*base[:50], "other", *base[51:]])]
+    sets, fps = [word_sets(t) for t in texts], []
+    for t in texts:
+        h = neardup.shingle_hashes(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0].tolist()
+        fps.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
+    near = lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 2 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if near(i, j)]
+    assert any(fps[i] != fps[j] for i, j in pairs)
+    monkeypatch.setattr(neardup, "band_keys", lambda h, starts: np.random.default_rng().integers(0, 1 << 63, (len(starts), neardup.BANDS), np.int64))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(df).collect()}
+    want = local_components(*(np.array(x, np.int64) for x in zip(*pairs)), len(texts)).tolist()
+    assert all(got[i] == got[j] for i, j in pairs) and len({*got.values()}) > 1
+    assert got == dict(enumerate(want))
