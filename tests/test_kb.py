@@ -43,6 +43,14 @@ def test_bm25_shuffles_the_best_only(spark):
     assert final.count("Exchange hashpartitioning(query_id") == final.count("Exchange ") == 1
 
 
+def test_bm25_topk_counts_where_it_reads(spark, tmp_path):
+    rows(spark, tmp_path, list(enumerate(TEXTS)))
+    found = registry.queries()["bm25_topk"](spark, str(tmp_path))
+    found.collect()
+    final = found._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+    assert final.count("Exchange ") == 1 and not any(x in final for x in ("Generate", "HashAggregate", "Join"))
+
+
 def test_bm25_same_in_pieces_and_blocks(spark, monkeypatch):
     docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(TEXTS * 5)], "doc_id long, pos long, text string")
     asked = spark.createDataFrame(ASKED, "query_id long, text string")
