@@ -16,10 +16,11 @@ import regex
 from tokenizers import Tokenizer
 
 DEFAULT = public_tokenizers.path("byte_bpe_50k.json")
-#: Words of up to WORD characters that are remembered in a Python worker; about 200 bytes each. Others are encoded each time.
-REMEMBERED, WORD = 200_000, 64
-#: Later words are remembered until there are so many, and then forgotten together.
-RECENT = 100_000
+#: Words of up to WORD characters that are remembered for good in a Python worker once they have come twice; about 200 bytes
+#: each. Longer ones are encoded each time.
+REMEMBERED, WORD = 400_000, 64
+#: New words are remembered until there are so many, and then forgotten together.
+RECENT = 200_000
 END_MARKS = frozenset(".,;:!?")
 #: A space that begins a stretch, as a non-space is behind it.
 FIRM = regex.compile(r" (?=\S)")
@@ -69,6 +70,8 @@ class Encoder:
         """Ids of a word without white space, behind a space."""
         out = self.recent.get(word)
         if out is not None:
+            if len(self.words) < REMEMBERED:
+                self.words[word] = out
             return out
         if word.isalpha():
             out = self.merged(self.space + word) if word.isascii() else self.stretch(" " + word)
@@ -77,17 +80,12 @@ class Encoder:
         elif word[-1] in END_MARKS and (core := word[:-1]).isalpha():
             known = self.words.get(core)
             out = (self.word(core) if known is None else known) + self.plain(word[-1])
-            if len(self.words) >= REMEMBERED:
-                return out
         else:
             out = b"".join(map(self.stretch, self.cut.findall(" " + word)))
         if len(word) <= WORD:
-            if len(self.words) < REMEMBERED:
-                self.words[word] = out
-            else:
-                if len(self.recent) >= RECENT:
-                    self.recent.clear()
-                self.recent[word] = out
+            if len(self.recent) >= RECENT:
+                self.recent.clear()
+            self.recent[word] = out
         return out
 
     def head(self, word: str) -> bytes:

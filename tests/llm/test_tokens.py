@@ -28,6 +28,16 @@ def test_words_give_the_same_ids(whole):
         assert e.encode(t) == np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
 
 
+def test_words_that_come_once_take_no_lasting_room(whole, monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 3)
+    monkeypatch.setattr(tokens, "RECENT", 5)
+    e = tokens.Encoder()
+    once = [f" once{'x' * i} and, and" for i in range(20)]
+    for t in once + once[:2] + ["a and b, b", "a b b c c d d e e"]:
+        assert e.encode(t) == np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    assert {"and", "and,"} <= set(e.words) and len(e.words) <= 3 and len(e.recent) <= 5 and not any("once" in w for w in e.words)
+
+
 def texts():
     return [*ODD, None, "many words " * 900, "x" * 5000, *(f"text number {i} about things" for i in range(50))]
 
