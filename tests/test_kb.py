@@ -51,6 +51,24 @@ def test_bm25_topk_counts_where_it_reads(spark, tmp_path):
     assert final.count("Exchange ") == 1 and not any(x in final for x in ("Generate", "HashAggregate", "Join"))
 
 
+def test_bm25_topk_shuffles_fewer_rows_than_two_for_each_document(spark, tmp_path):
+    """Over all its jobs, those that run before the rows are asked for too."""
+    words, n = [f"w{i:03}" for i in range(40)], 2000
+    spark.createDataFrame([(i, " ".join(words)) for i in range(n)], "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, " ".join(words[4 * i : 4 * i + 4])) for i in range(10)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    sc, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+
+    def written():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        none = jvm.java.util.ArrayList
+        stages = sc.statusStore().stageList(none(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), none())
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in (stages.apply(i) for i in range(stages.size()))}
+
+    before = written()
+    assert len(registry.queries()["bm25_topk"](spark, str(tmp_path)).collect()) == 50
+    assert 0 < sum(x for k, x in written().items() if k not in before) < 2 * n
+
+
 def test_bm25_same_in_pieces_and_blocks(spark, monkeypatch):
     docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(TEXTS * 5)], "doc_id long, pos long, text string")
     asked = spark.createDataFrame(ASKED, "query_id long, text string")
